@@ -41,4 +41,94 @@ SELECT doc_id, size::BIGINT AS size, source_size, target, sum(CASE WHEN took THE
 GROUP BY doc_id, source, key, size, source_size, target, words
 """
 
-ORACLES = {"op8_minhash_near_dedup": OP8, "op9_source_mixing": OP9}
+
+OP1 = f"""
+WITH u AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages
+), r(rule, verdict, h, p) AS (
+  SELECT *, split_part(rule, '/', 1), substr(rule, instr(rule, '/')) FROM (VALUES
+    ('com/en/', 'block'), ('example.com/en/7', 'allow'), ('net/de/', 'allow'), ('example.net/de/8', 'block'), ('org/es/', 'block')) AS t(rule, verdict)
+), l(x) AS (VALUES ('cheap-pills.example.com'), ('spam-farm.example.org')),
+best AS (
+  SELECT page_id, host, path, max(struct_pack(n := length(rule), verdict := verdict, rule := rule)) AS b
+  FROM u LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL
+)
+SELECT page_id, host, path, b.rule AS rule,
+  CASE WHEN b.rule IS NOT NULL THEN b.verdict WHEN EXISTS (SELECT 1 FROM l WHERE host = x OR ends_with(host, '.' || x)) THEN 'block' ELSE 'allow' END AS verdict
+FROM best
+"""
+
+_ESCAPED = "regexp_replace(replace(text, '\\', '\\\\'), '(<)(s>|/s>|<SYS>>|</SYS>>)|(\\[)(INST\\]|/INST\\]|ROLE\\]|/ROLE\\])', '\\1\\3\\\\\\2\\4', 'g')"
+
+OP2 = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role), '')) AS loss_sha256,
+  CAST(3 + sum(length({_ESCAPED}) + CASE role WHEN 'user' THEN 13 WHEN 'system' THEN 15 WHEN 'assistant' THEN 4 ELSE 17 + length(role) END) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+_ANY = "[^ ]+"
+_TEMPLATES = {
+    "apache-2.0": "licensed under the apache license(?: version)? 2 0",
+    "mit": f"permission is hereby granted free of charge to any person obtaining a copy of {_ANY}(?: {_ANY}){{0,5}} and associated documentation files(?: the {_ANY}(?: {_ANY})?)? to deal in the software without restriction",
+    "bsd": f"redistribution and use(?: of {_ANY}(?: {_ANY}){{0,5}})? in source and binary forms with or without modification are permitted",
+    "mit-short": "(?:released )?under the mit license",
+    "gpl-version": f"gnu (?:lesser )?general public license (?:as published by the free software foundation either )?version {_ANY}",
+    "cc-by-version": f"(?:licensed under )?cc by {_ANY} 0",
+}
+_WHOLE = ", ".join(f"CASE WHEN regexp_matches(s, ' {t} ') THEN '{k}' END" for k, t in _TEMPLATES.items())
+
+#: Every word is between two blanks of its own, so that phrases that follow each other are both found.
+OP5 = f"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), s AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS s FROM w),
+p AS (
+  SELECT doc_id, i - 1 AS pos, CASE WHEN w[i] = 'cc' AND w[i + 1] = 'by' THEN 'cc-by' WHEN w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license' THEN 'gpl'
+    WHEN w[i] = 'all' AND w[i + 1] = 'rights' AND w[i + 2] = 'reserved' THEN 'reserved' END AS label
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)
+), b AS (SELECT doc_id, count(*) AS n, min(pos) AS a, max(pos) AS z, list(DISTINCT label) AS l FROM p WHERE label IS NOT NULL GROUP BY doc_id),
+m AS (SELECT doc_id, len(w) AS n_words, list_filter([{_WHOLE}], lambda x: x IS NOT NULL) AS whole FROM s)
+SELECT doc_id, n_words, coalesce(n, 0) AS n_base, a AS first_word, z AS last_word, coalesce(array_to_string(list_sort(l), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(l, []), whole))), ','), '') AS labels,
+  CASE WHEN len(whole) > 0 THEN 1.0::DOUBLE WHEN n > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score
+FROM m LEFT JOIN b USING (doc_id)
+"""
+
+OP7 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), ok AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT p.vec_id AS a, q.vec_id AS b FROM ok p JOIN ok q ON p.label = q.label AND len(p.e) = len(q.e) AND p.vec_id <> q.vec_id AND list_cosine_similarity(p.e, q.e) >= 0.98
+), reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+OP10 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS n, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(h, CAST(i // 4 * 5 + 1 AS INT), 5))::INT >> CAST(15 - i % 4 * 5 AS INT)) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
+
+ORACLES = {
+    "op1_url_filters": OP1,
+    "op2_chat_formatting": OP2,
+    "op5_license_scans": OP5,
+    "op7_embedding_near_dedup": OP7,
+    "op8_minhash_near_dedup": OP8,
+    "op9_source_mixing": OP9,
+    "op10_warc": OP10,
+}
