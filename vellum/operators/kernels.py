@@ -42,8 +42,9 @@ def labelled(mask: np.ndarray, neighbours: int = 8) -> np.ndarray:
             b = label[dy:, max(0, dx) : label.shape[1] + min(0, dx)]
             both = (a > 0) & (b > 0)
             low = np.minimum(a, b)
-            a[both] = low[both]
-            b[both] = low[both]
+            # the two views share pixels, so what was lowered stays lowered
+            a[both] = np.minimum(a[both], low[both])
+            b[both] = np.minimum(b[both], low[both])
         if (old == label).all():
             break
     _, dense = np.unique(np.append(0, label[label > 0]), return_inverse=True)
