@@ -217,7 +217,7 @@ def near_duplicates(vectors: DataFrame, *, least: float = 0.98, axes_most: int =
     near = F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x * x) <= width * width
     pairs = left.join(right, ["label", "dim", "at"]).where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "dim").distinct()
     sides = [blocks.select(F.col("block").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("ids", "many", "vectors")]) for c in "ab"]
-    found = pairs.repartition(n, "a", "b").join(sides[0], "a").join(sides[1], "b").mapInArrow(_joined(axes, least, width), "a long, b long, n long")
+    found = pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_joined(axes, least, width), "a long, b long, n long")
     found = written(found, "links")
     counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     labels = components(found.where("b is not null").select("a", "b"))
