@@ -112,7 +112,7 @@ def reference_fingerprint(text, k=2, minima=2, bins=64):
     seen, keys = {}, []
     for _, h, i in order:
         occ = seen[h] = seen.get(h, -1) + 1
-        keys.append((spark_hash(h, (occ,)) & ~low & mask) | i)
+        keys.append(((spark_hash(h, (occ,)) if occ else h) & ~low & mask) | i)
     out = [None] * bins
     for b in range(bins):
         own = sorted(signed(x) for x in keys if x >> (64 - bins.bit_length() + 1) == b)[:minima]
@@ -271,7 +271,7 @@ def brute_components(texts, k, percent):
     return [root(i) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("tile", [512, 3])
+@pytest.mark.parametrize("tile", [2048, 3])
 def test_near_duplicates_by_brute_force(spark, monkeypatch, tile):
     monkeypatch.setattr(near_dedup, "TILE", tile)
     rng = random.Random(5)
@@ -308,7 +308,9 @@ def test_sketches_estimate_and_merge():
     assert near_dedup.likeliest(r[:1], r[:1], np.array([2000.0]), np.array([2000.0]))[0] == 1
 
 
-def test_components(spark):
+@pytest.mark.parametrize("chunk", [250_000, 5])
+def test_components(spark, monkeypatch, chunk):
+    monkeypatch.setattr("vellum.llm.components.CHUNK", chunk)
     rng = random.Random(9)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(rng.randint(100, 160), rng.randint(100, 160)) for _ in range(30)] + [(7, 7)]
     up = {x: x for p in pairs for x in p}

@@ -27,46 +27,49 @@ def _high(x: Column) -> Column:
     return x.bitwiseAND(F.lit(~_POSITION))
 
 
-def _runs(count: Column, differs) -> Column:
-    """Where runs of equal neighbours begin, among ``count`` elements."""
-    return F.filter(F.sequence(F.lit(0), count - 1), lambda i: (i == 0) | differs(i))
+def _low(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(_POSITION))
+
+
+def _ends(values: Column, same, make) -> Column:
+    """make(begin, end) for each run of neighbours that are the same, by index; elements aren't copied."""
+    begins = F.filter(F.sequence(F.lit(0), F.size(values) - 1), lambda i: (i == 0) | ~same(F.get(values, i), F.get(values, i - 1)))
+    pairs = F.zip_with(begins, F.slice(begins, 2, F.size(begins)), lambda a, b: make(a, F.coalesce(b, F.size(values))))
+    return F.when(F.size(values) > 0, pairs)
 
 
 def with_fingerprint(df: DataFrame, text_col: str, out_col: str, *, k: int = 2, minima: int = 2, bins: int = 64) -> DataFrame:
-    """df with the fingerprint of a text column: for each bin a 32-bit number, or null where no k-mer falls into it."""
+    """df with the fingerprint of a text column: for each bin a 32-bit number, or null where no k-mer falls into it.
+
+    A k-mer's first occurrence has the k-mer's hash, later ones hash the number of the occurrence too. Each pass over
+    the k-mers is one array function; what needs more works on the repeated ones, or on the selected ones.
+    """
     bits = bins.bit_length() - 1
     if 1 << bits != bins:
         raise ValueError("bins must be a power of two")
-    w, h, s, r, t = (f"{out_col}_{c}_" for c in "whsrt")
+    w, h, r, d, m = (f"{out_col}_{c}_" for c in "whrdm")
+    bin_of = lambda x: F.shiftrightunsigned(x, 64 - bits)
     df = df.withColumn(w, F.split(F.coalesce(F.col(text_col), F.lit("")), _SPACES))
-    kmers = F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b)) if k > 1 else F.transform(w, lambda a: F.xxhash64(a))
-    for j in range(2, k):
-        kmers = F.zip_with(kmers, F.slice(w, j + 1, F.greatest(F.size(w) - j, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    df = df.withColumn(h, kmers)
-    # equal k-mers side by side, each with its position
-    df = df.withColumn(h, F.sort_array(F.transform(h, lambda x, i: _high(x).bitwiseOR(F.least(i, F.lit(_POSITION)).cast("long"))))).drop(w)
-    df = df.withColumn(s, _runs(F.size(h), lambda i: F.get(h, i).bitwiseXOR(F.get(h, i - 1)).bitwiseAND(F.lit(~_POSITION)) != 0))
-    numbered = F.flatten(
-        F.zip_with(
-            s,
-            F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))),
-            lambda a, b: F.transform(
-                F.slice(h, a + 1, F.coalesce(b, F.size(h)) - a), lambda x, o: _high(F.xxhash64(_high(x), o)).bitwiseOR(x.bitwiseAND(F.lit(_POSITION)))
-            ),
-        )
-    )
-    df = df.withColumn(r, F.sort_array(numbered)).drop(h, s)
-    df = df.withColumn(t, _runs(F.size(r), lambda i: F.shiftrightunsigned(F.get(r, i), 64 - bits) != F.shiftrightunsigned(F.get(r, i - 1), 64 - bits)))
-
-    def bin_entry(a: Column, b: Column) -> Column:
-        least = F.slice(r, a + 1, F.least(F.lit(minima), F.coalesce(b, F.size(r)) - a))
-        in_order = F.sort_array(F.transform(least, lambda x: F.shiftleft(x.bitwiseAND(F.lit(_POSITION)), 41).bitwiseOR(F.shiftrightunsigned(x, 23))))
+    hashed = F.transform(w, lambda x, i: _high(F.xxhash64(x, *[F.get(w, i + j) for j in range(1, k)])).bitwiseOR(F.least(i, F.lit(_POSITION)).cast("long")))
+    df = df.withColumn(h, F.sort_array(hashed))
+    again = lambda x, i: (i > 0) & (_high(x) == _high(F.get(h, i - 1)))
+    df = df.withColumn(d, F.filter(h, again))
+    renumbered = _ends(F.col(d), lambda x, y: _high(x) == _high(y), lambda a, e: F.transform(F.sequence(a, e - 1), lambda i: _high(F.xxhash64(_high(F.get(d, i)), i - a + 1)).bitwiseOR(_low(F.get(d, i)))))
+    firsts = F.filter(h, lambda x, i: ~again(x, i))
+    df = df.withColumn(r, F.when(F.size(d) > 0, F.sort_array(F.concat(firsts, F.flatten(renumbered)))).otherwise(F.col(h)))
+    # the smallest of each bin: those that don't have so many of their bin before them
+    df = df.withColumn(m, F.filter(r, lambda x, i: (i < minima) | (bin_of(x) != bin_of(F.get(r, i - minima)))))
+
+    def entry(a: Column, e: Column) -> Column:
+        own = F.transform(F.sequence(a, e - 1), lambda i: F.get(m, i))
+        in_order = F.sort_array(F.transform(own, lambda x: F.shiftleft(_low(x), 41).bitwiseOR(F.shiftrightunsigned(x, 23))))
         value = F.xxhash64(F.transform(in_order, lambda x: x.bitwiseAND(F.lit(_HASH41)))).bitwiseAND(F.lit(0xFFFFFFFF))
-        return F.struct(F.shiftrightunsigned(F.get(r, a), 64 - bits).cast("int").alias("bin"), value.alias("value"))
+        return F.struct(bin_of(F.get(m, a)).cast("int").alias("bin"), value.alias("value"))
 
-    entries = F.map_from_entries(F.zip_with(t, F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), bin_entry))
-    df = df.withColumn(r, entries).drop(t)
-    return df.withColumn(out_col, F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.try_element_at(F.col(r), b))).drop(r)
+    entries = F.map_from_entries(_ends(F.col(m), lambda x, y: bin_of(x) == bin_of(y), entry))
+    # bound by a lambda, or the optimiser would make the map anew for each bin
+    slots = F.transform(F.array(entries), lambda x: F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.try_element_at(x, b)))
+    return df.withColumn(out_col, F.get(slots, F.lit(0))).drop(w, h, r, d, m)
 
 
 def shown(fingerprint: Column) -> Column:
