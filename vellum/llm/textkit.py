@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; what a worker holds follows from it, or from one text that is longer.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 
 def text_column(column: pa.Array) -> pa.Array:
@@ -84,10 +84,12 @@ def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each word, from two polynomials over prefix sums and the length."""
     out = mixed((end - begin).astype("u8"))
-    values = data.astype("u8") + np.uint64(1)
+    total = np.zeros(len(data) + 1, dtype="u8")
     for base in _BASES:
         up, down = _power(base, len(data) + 1)
-        total = np.concatenate((np.zeros(1, dtype="u8"), np.cumsum(values * up[: len(data)], dtype="u8")))
+        np.multiply(up[: len(data)], data, out=total[1:], casting="unsafe")
+        total[1:] += up[: len(data)]
+        np.cumsum(total[1:], out=total[1:])
         out = mixed(out ^ ((total[end] - total[begin]) * down[begin]))
     return out
 
@@ -111,7 +113,7 @@ class WordTokenizer:
     marks go to the model directly, all others through the whole tokenizer.
     """
 
-    MOST = 1_000_000
+    MOST = 1_500_000
     _own: dict[int, WordTokenizer] = {}
 
     def __init__(self, model: bytes):
@@ -130,43 +132,72 @@ class WordTokenizer:
         return cls._own[key]
 
     def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
+        # parts by their 64-bit hashes: ascending, with begin and length of their ids; new ones are merged in now and then
+        self.known = [(np.zeros(0, dtype="u8"), np.zeros(0, dtype="u4"), np.zeros(0, dtype="u4"))] * 2
+        self.flat, self.used = np.zeros(1 << 16, dtype="u4"), 0
         self.runs: dict[str, bytes] = {"": b""}
-        self.flat, self.starts = np.zeros(0, dtype="u4"), np.zeros(1, dtype="i8")
 
     def _ids(self, part: bytes) -> bytes:
-        text = part.decode()
+        text, runs = part.decode(), self.runs
         if not (m := _PLAIN.fullmatch(text.lower())):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        runs, (a, b) = self.runs, m.groups()
+        a, b = m.groups()
         for x in (a, b):
             if x not in runs:
                 runs[x] = array("I", [t.id for t in self.model.tokenize(x if x.isascii() else x.encode().decode("latin-1").translate(_WRITTEN))]).tobytes()
         return runs[a] + runs[b]
 
+    def _learn(self, hashes: np.ndarray, parts: list[bytes]) -> None:
+        """hashes: ascending, none of them known."""
+        if len(self.runs) > self.MOST // 6:
+            self.runs = {"": b""}
+        got = [self._ids(x) for x in parts]
+        length = np.fromiter(map(len, got), dtype="u4", count=len(got)) // 4
+        new = np.frombuffer(b"".join(got), dtype="u4")
+        while self.used + len(new) >= len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        self.flat[self.used : self.used + len(new)] = new
+        begin = (self.used + np.cumsum(length) - length).astype("u4")
+        self.used += len(new)
+        fresh = _merged(self.known[1], (hashes, begin, length))
+        if 8 * len(fresh[0]) > len(self.known[0][0]):
+            self.known = [_merged(self.known[0], fresh), tuple(x[:0] for x in fresh)]
+        else:
+            self.known = [self.known[0], fresh]
+
+    def _found(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each is known, and begin and length of its ids."""
+        ok, begin, length = np.zeros(len(hashes), dtype=bool), np.zeros(len(hashes), dtype="i8"), np.zeros(len(hashes), dtype="i8")
+        for h, b, n in self.known:
+            if len(h):
+                at = np.minimum(np.searchsorted(h, hashes), len(h) - 1)
+                hit = h[at] == hashes
+                ok |= hit
+                begin[hit], length[hit] = b[at[hit]], n[at[hit]]
+        return ok, begin, length
+
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by end_id, and where each text ends."""
         data, at = raw(texts)
         begin, end, first = words(data, at)
-        offsets = np.concatenate(([0], np.cumsum(end - begin)))
-        parts = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets.astype("i8").tobytes()), pa.py_buffer(data[~_SPACE[data]].tobytes())])
-        coded = parts.dictionary_encode()
-        different = coded.dictionary.to_pylist()
-        if len(self.known) > self.MOST:
+        hashes, where, inverse = np.unique(word_hashes(data, begin, end), return_index=True, return_inverse=True)
+        if len(self.known[0][0]) + len(self.known[1][0]) > self.MOST:
             self._clear()
-        known = self.known
-        if new := [x for x in different if x not in known]:
-            got = [self._ids(x) for x in new]
-            n = len(known)
-            known.update(zip(new, range(n, n + len(new)), strict=True))
-            self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(got), dtype="u4")))
-            self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(np.fromiter(map(len, got), dtype="i8", count=len(got)) // 4)))
-        own = np.fromiter(map(known.__getitem__, different), dtype="i8", count=len(different))
+        ok, _, _ = self._found(hashes)
+        if not ok.all():
+            whole, new = data.tobytes(), where[~ok]
+            self._learn(hashes[~ok], [whole[i:j] for i, j in zip(begin[new].tolist(), end[new].tolist(), strict=True)])
+        _, start, length = self._found(hashes)
         # the end id is one more part after the parts of each text
-        part = own[coded.indices.to_numpy()] if len(begin) else np.zeros(0, dtype="i8")
-        many = np.insert((self.starts[part + 1] - self.starts[part]) if len(part) else part, first[1:], 1)
-        source = np.insert(self.starts[part] if len(part) else part, first[1:], len(self.flat))
+        many = np.insert(length[inverse], first[1:], 1)
+        source = np.insert(start[inverse], first[1:], self.used)
         done = np.cumsum(many)
         index = np.repeat(source - (done - many), many) + np.arange(done[-1] if len(done) else 0)
-        flat = np.append(self.flat, np.uint32(end_id))[index]
-        return flat, done[first[1:] + np.arange(len(texts))]
+        self.flat[self.used] = end_id
+        return self.flat[index], done[first[1:] + np.arange(len(texts))]
+
+
+def _merged(a: tuple, b: tuple) -> tuple:
+    """Two tables, each ascending by its first column, as one."""
+    at = np.searchsorted(a[0], b[0])
+    return tuple(np.insert(x, at, y) for x, y in zip(a, b, strict=True))

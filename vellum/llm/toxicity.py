@@ -88,13 +88,23 @@ class Lexicon:
 def _counts(shortest: int, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def counts() -> pa.RecordBatch:
+            keys = list(seen[0] | seen[1])
+            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *[pa.array([c[k] for k in keys], pa.int64()) for c in seen]], ["term", "clean", "toxic"])
+            for c in seen:
+                c.clear()
+            return out
+
         for batch in batches:
-            for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = set(_LETTERS.findall(folded(text or "")))
-                seen[label].update({w[:n] for w in words for n in range(shortest, min(longest, len(w)) + 1)})
-                seen[label][""] += 1
-        keys = list(seen[0] | seen[1])
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *[pa.array([c[k] for k in keys], pa.int64()) for c in seen]], ["term", "clean", "toxic"])
+            for label, text in zip(batch.column("label"), batch.column("text"), strict=True):
+                words = set(_LETTERS.findall(folded(text.as_py() or "")))
+                own = seen[label.as_py()]
+                own.update({w[:n] for w in words for n in range(shortest, min(longest, len(w)) + 1)})
+                own[""] += 1
+                if len(seen[0]) + len(seen[1]) > 200_000:  # a worker holds no more; the rest is summed after the shuffle
+                    yield counts()
+        yield counts()
 
     return run
 
