@@ -27,24 +27,50 @@ def forest(pairs: list[tuple[int, int]]) -> dict[int, int]:
     return {x: root(x) for x in up}
 
 
+#: Links that one task contracts at once.
+CHUNK = 250_000
+
+
 def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[int, int]] = []
+
+    def stars() -> pa.RecordBatch:
+        own = [(x, r) for x, r in forest(held).items() if x != r]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in own], pa.int64()), pa.array([r for _, r in own], pa.int64())], ["a", "b"])
+
     for batch in batches:
-        roots = forest(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)))
-        own = [(x, r) for x, r in roots.items() if x != r]
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in own], pa.int64()), pa.array([r for _, r in own], pa.int64())], ["a", "b"])
+        held += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+        if len(held) >= CHUNK:
+            yield stars()
+            held = []
+    yield stars()
+
+
+def _contracted(links: DataFrame, many: int) -> DataFrame:
+    """Links replaced by the stars of each chunk's components."""
+    return written(links.coalesce(max(1, -(-many // CHUNK))).mapInArrow(_shorten, "a long, b long"), "contracted")
+
+
+def _are_stars(links: DataFrame) -> bool:
+    """Whether each node is linked once, to one that isn't linked further."""
+    many = links.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    further = links.select("b").distinct().join(links.select(F.col("a").alias("b")), "b", "left_semi")
+    return not many.limit(1).count() and not further.limit(1).count()
 
 
 def components(links: DataFrame) -> DataFrame:
     """links (a long, b long) to (node, component): of each linked node, the smallest node it reaches.
 
-    Each batch of links is first replaced by stars of its own components. Then larger neighbours are linked to a
-    node's smallest neighbour, and smaller ones likewise, in turn, until nothing changes; each half step is a
-    pre-aggregated minimum and a join, which Spark can split at a hot node. Every step ends in a written table.
+    In rounds, until links are stars: chunks of links are replaced by the stars of their own components; then larger
+    neighbours are linked to a node's smallest neighbour, and smaller ones likewise. Each half step is a pre-aggregated
+    minimum and a join, which Spark can split at a hot node, and ends in a written table.
     """
-    links = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
-    links = written(links.mapInArrow(_shorten, "a long, b long"), "links")
-    state = None
+    links = written(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").distinct(), "links")
     while True:
+        links = _contracted(links, links.count())
+        if _are_stars(links):
+            nodes = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            return nodes.union(links.select("b", "b").distinct())
         # large star: every neighbour above u is linked to the smallest of u and its neighbours
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
@@ -52,11 +78,4 @@ def components(links: DataFrame) -> DataFrame:
         # small star: u and its neighbours below it are linked to the smallest of them
         low = written(links.where("a <> b").distinct(), "large-star")
         least = low.groupBy("a").agg(F.min("b").alias("m"))
-        links = low.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        links = written(links, "small-star")
-        now = tuple(links.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first())
-        if now == state:
-            return links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).union(
-                links.groupBy("b").agg(F.min("b").alias("component"))
-            )
-        state = now
+        links = written(low.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "small-star")

@@ -6,8 +6,9 @@ similarity of a candidate pair is estimated jointly by maximum likelihood from h
 equal; pairs that can pass are verified on their whole sets.
 
 Scale: documents with equal sets are one class from the start, so a group of copies costs one sketch. Within a band's
-group, pairs aren't enumerated: every member is compared with a few hubs, linked ones are contracted into components,
-and only groups that still hold different components are compared pair by pair, in tiles of bounded size. Links lost
+group, pairs aren't enumerated: every member is compared with a hub, twice, and linked ones are contracted into
+components. Groups that still hold several components go into tiles of bounded size, in which the smaller components'
+members are compared with all others on whole sets at once, and which give a forest of links, not pairs. Links lost
 by banding at similarity 0.8: (1 - 0.8**4)**32 = 5e-8 of them; the estimate's margin is six standard deviations.
 
 Defined cases: null and empty texts have an empty set and no links; a null id has no links and a null component; rows
@@ -24,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .components import components
+from .components import components, forest
 from .textkit import lowered, mixed, raw, slices, text_column, word_hashes, words
 
 #: Registers, registers of a band, base and rate of the sketch.
 REGISTERS, BAND, BASE, RATE = 128, 4, 1.001, 20.0
-TILE = 1024
+#: Members, and shingles, of one side of a tile.
+TILE, TILE_SHINGLES = 2048, 2_000_000
 #: Below the threshold by less than this, an estimate doesn't rule a pair out.
 MARGIN = 0.22
 
@@ -164,52 +166,95 @@ def _verified(percent: int):
 
 
 class _Linker:
-    """Candidate pairs to links."""
+    """Candidate pairs to links; whole sets are made again from the texts of the documents that need them."""
 
     def __init__(self, docs: DataFrame, reps: DataFrame, k: int, percent: int, id_col: str, text_col: str):
         self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
         self.reps, self.k, self.percent = reps, k, percent
 
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """id, set of these documents."""
+        return written(self.docs.join(ids, "id", "left_semi").mapInArrow(_set_rows(self.k), "id long, set binary"), "sets")
+
     def links(self, pairs: DataFrame) -> DataFrame:
         near = self.percent / 100
         side = [self.reps.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("registers").alias(f"reg_{c}")) for c in "ab"]
         sized = pairs.join(side[0], "a").join(side[1], "b").where((F.col("n_a") >= near * F.col("n_b") - 1e-9) & (F.col("n_b") >= near * F.col("n_a") - 1e-9))
         possible = written(sized.mapInArrow(_possible(near), "a long, b long"), "possible")
-        ids = possible.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = self.docs.join(ids, "id", "left_semi").mapInArrow(_set_rows(self.k), "id long, set binary")
-        sets = written(sets, "sets")
+        sets = self.sets(possible.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         both = possible.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
         return written(both.mapInArrow(_verified(self.percent), "a long, b long"), "verified")
 
 
 def _hub_pairs(bands: DataFrame, salt: int) -> DataFrame:
-    """Every member of a group with the group's hub: the member with the smallest salted hash."""
-    order = F.struct(F.xxhash64("id", "key", F.lit(salt)).alias("o"), F.col("id").alias("id"))
+    """Every member of a group with the group's hub, the member with the smallest salted hash; groups that share members mostly share the hub."""
+    order = F.struct(F.xxhash64("id", F.lit(salt)).alias("o"), F.col("id").alias("id"))
     hubs = bands.groupBy("key").agg(F.min(order).alias("hub"), F.count(F.lit(1)).alias("many")).where("many > 1").select("key", F.col("hub.id").alias("hub"))
     pairs = bands.join(hubs, "key").where(F.col("id") != F.col("hub"))
     return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
 def _open_groups(bands: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of groups of three or more that hold several components: key, id, component, many."""
+    """Members of groups of three or more that hold several components: key, id, component."""
     own = bands.join(labels.select(F.col("node").alias("id"), "component"), "id", "left")
     own = own.withColumn("component", F.coalesce("component", "id"))
     groups = own.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("component").alias("c"), F.max("component").alias("d"))
-    return own.join(groups.where("many > 2 and c <> d").select("key", "many"), "key")
+    return own.join(groups.where("many > 2 and c <> d").select("key"), "key").select("key", "id", "component")
+
+
+def _tiles(left: DataFrame, reps: DataFrame) -> DataFrame:
+    """Open groups to tiles: lead, kind, p, q, part, id, component.
+
+    Groups with the same largest component are one, led by it, so members come once and not once a band. Its other
+    members, few as a rule, are what has to be compared: with each other (kind 0) and with the leading component's
+    (kind 1), in tiles of at most about two times TILE members, or TILE_SHINGLES shingles.
+    """
+    counted = left.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    leads = counted.groupBy("key").agg(F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("l")).select("key", (-F.col("l.c")).alias("lead"))
+    members = left.join(leads, "key").select("lead", "id", "component").distinct().join(reps.select("id", "n_shingles"), "id")
+    other = F.col("component") != F.col("lead")
+    parts = lambda which: F.ceil(F.greatest(F.sum(which.cast("int")) / TILE, F.sum(F.when(which, F.col("n_shingles")).otherwise(0)) / TILE_SHINGLES)).cast("int")
+    sizes = members.groupBy("lead").agg(parts(other).alias("s"), parts(~other).alias("g"))
+    own = members.join(sizes, "lead").withColumn("part", F.pmod(F.xxhash64("id"), F.when(other, F.col("s")).otherwise(F.col("g"))).cast("int"))
+    among = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda j: F.struct(F.lit(0).alias("kind"), F.least("part", j).alias("p"), F.greatest("part", j).alias("q")))
+    down = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda j: F.struct(F.lit(1).alias("kind"), j.alias("p"), F.col("part").alias("q")))
+    across = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.struct(F.lit(1).alias("kind"), F.col("part").alias("p"), j.alias("q")))
+    return own.select("lead", "id", "component", "part", other.alias("other"), F.inline(F.when(other, F.concat(among, across)).otherwise(down)))
+
+
+def shared_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, columns: int = 4096) -> np.ndarray:
+    """How many elements each set of a shares with each of b: products of incidence matrices, some elements at a time."""
+    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, code, many = np.unique(values, return_inverse=True, return_counts=True)
+    keep = many[code] > 1
+    code, owner = np.unique(code[keep], return_inverse=True)[1], owner[keep]
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    out = np.zeros((len(a), len(b)))
+    for lo in range(0, int(code[-1]) + 1 if len(code) else 0, columns):
+        i, j = np.searchsorted(code, [lo, lo + columns])
+        m = np.zeros((len(sets), columns), dtype="f4")
+        m[owner[i:j], code[i:j] - lo] = 1
+        out += m[a] @ m[b].T
+    return out
 
 
-def _tile_pairs(batch: pa.Table) -> pa.Table:
-    """Of one tile: pairs of different components, each component's members only against others."""
-    ids, comp = batch.column("id").to_numpy(), batch.column("component").to_numpy()
-    part, (p, q) = batch.column("part").to_numpy(), (batch.column(c)[0].as_py() for c in ("p", "q"))
-    a = np.flatnonzero(part == p)
-    b = np.flatnonzero(part == q)
-    out = []
-    for i in a:
-        j = b[(comp[b] != comp[i]) & ((ids[b] > ids[i]) if p == q else (ids[b] != ids[i]))]
-        out.append(np.stack((np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]))))
-    found = np.concatenate(out, axis=1) if out else np.zeros((2, 0), dtype="i8")
-    return pa.table({"a": pa.array(found[0]), "b": pa.array(found[1])})
+def _tile_links(percent: int):
+    def run(tile: pa.Table) -> pa.Table:
+        ids, comp, part, other = (tile.column(c).to_numpy() for c in ("id", "component", "part", "other"))
+        kind, p, q = (tile.column(c)[0].as_py() for c in ("kind", "p", "q"))
+        sets = [np.frombuffer(x.as_buffer(), dtype="<u8") for x in tile.column("set")]
+        a, b = (np.flatnonzero(other), np.flatnonzero(~other)) if kind else (np.flatnonzero(part == p), np.flatnonzero(part == q))
+        found: list[tuple[int, int]] = []
+        if len(a) and len(b):
+            n = np.array([len(x) for x in sets], dtype="f8")
+            both = shared_counts(sets, a, b)
+            linked = (100 * both >= percent * (n[a][:, None] + n[b][None] - both)) & (comp[a][:, None] != comp[b][None])
+            found = [(int(ids[a[i]]), int(ids[b[j]])) for i, j in zip(*np.nonzero(linked), strict=True)]
+        stars = [(x, r) for x, r in forest(found).items() if x != r]
+        return pa.table({"a": pa.array([x for x, _ in stars], pa.int64()), "b": pa.array([r for _, r in stars], pa.int64())})
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,15 +276,13 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: s
     labels = components(links)
     left = written(_open_groups(bands, labels), "open")
     if left.head(1):
-        links = links.union(linker.links(_hub_pairs(left.select("key", "id"), 1)))
+        links = links.union(linker.links(_hub_pairs(left, 1)))
         labels = components(links)
         left = written(_open_groups(left.select("key", "id"), labels), "open")
     if left.head(1):
-        parts = F.ceil(F.col("many") / TILE).cast("int")
-        tiles = left.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-        tiles = tiles.withColumn("p", F.least("part", "other")).withColumn("q", F.greatest("part", "other"))
-        pairs = tiles.groupBy("key", "p", "q").applyInArrow(_tile_pairs, "a long, b long").distinct()
-        links = links.union(linker.links(pairs))
+        tiles = written(_tiles(left, reps), "tiles")
+        held = tiles.join(linker.sets(tiles.select("id").distinct()), "id")
+        links = links.union(held.groupBy("lead", "kind", "p", "q").applyInArrow(_tile_links(percent), "a long, b long"))
         labels = components(links)
     known = classes.join(labels.withColumnRenamed("node", "id"), "id", "left").select(*sig, F.coalesce("component", "id").alias("component"))
     out = sketched.drop("registers").join(known, sig, "left")
