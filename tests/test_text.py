@@ -76,3 +76,8 @@ def test_repeats_and_until(spark):
     df = spark.createDataFrame([([1, 2, 3, 1, 2],), ([1, 2, 3],), ([],), ([9, 1],)], "a array<int>")
     assert [r[0] for r in df.select(K.repeats_ngram(F.col("a"), 2)).collect()] == [True, False, False, False]
     assert [r[0] for r in df.select(K.until(F.col("a"), 9)).collect()] == [[1, 2, 3, 1, 2], [1, 2, 3], [], []]
+
+
+def test_opcode_rate(spark):
+    df = spark.createDataFrame([("abcd", "abxd"), ("", "x"), ("ab", "ab")], "r string, p string")
+    assert [r["rate"] for r in metrics.opcode_rate(df, "r", "p").collect()] == [0.75, 1.0, 0.0]

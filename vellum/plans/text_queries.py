@@ -74,6 +74,13 @@ def bleu4_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.corpus_bleu(scored(spark, sf_dir), "text", "pred", ["source"], ["doc_id", "line_no"])
 
 
+@query()
+def cer_opcode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each different word."""
+    words = read(spark, sf_dir, "documents").select(F.explode(T.tokens(F.col("text"))).alias("word")).distinct()
+    return metrics.opcode_rate(words.withColumn("pred", recognised(F.col("word"))), "word", "pred")
+
+
 _PUNCT = "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
