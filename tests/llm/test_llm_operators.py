@@ -130,6 +130,54 @@ def test_fingerprint_by_brute_force(spark):
     assert reference_fingerprint("a b c d e f") != reference_fingerprint("f e d c b a")
 
 
+def swapped_likeness(spark, n, **options):
+    """The mean likeness of texts of n random words to themselves with their halves swapped."""
+    rng = random.Random(n)
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(n)] for _ in range(40)]
+    df = spark.createDataFrame([(" ".join(t), " ".join(t[n // 2 :] + t[: n // 2])) for t in texts], "a string, b string")
+    df = fingerprint.with_fingerprint(fingerprint.with_fingerprint(df, "a", "f", **options), "b", "g", **options)
+    return df.agg(F.avg(fingerprint.likeness(F.col("f"), F.col("g")))).first()[0]
+
+
+@pytest.mark.parametrize("n", [20, 40, 100])
+def test_short_texts_keep_order(spark, n):
+    assert swapped_likeness(spark, n, refill=True) < 0.55
+
+
+def test_refilled_bins_by_brute_force(spark):
+    rng = random.Random(5)
+    texts = ["", "a", "a b", "a b c", *[" ".join(rng.choice("abcdé") for _ in range(n)) for n in (5, 30, 90)], " ".join(f"w{i}" for i in range(300))]
+    low, mask = (1 << 23) - 1, (1 << 64) - 1
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def hashed(parts):
+        seed = 42
+        for p, size in parts:
+            seed = xxhash.xxh64_intdigest(p.encode() if size is None else (p & mask).to_bytes(size, "little"), seed)
+        return seed
+
+    def whole(text, b, minima=2):
+        w = re.split("[ \t-\r]+", text)
+        kmers = [hashed([(x, None) for x in w[i : i + 2]]) & ~low & mask for i in range(len(w))]
+        seen, keys = {}, []
+        for _, h, i in sorted((signed(h | i), h, i) for i, h in enumerate(kmers)):
+            occ = seen[h] = seen.get(h, -1) + 1
+            keys.append((hashed([(h, 8), (occ, 4)]) & ~low & mask if occ else h, i))
+        ranked = []
+        for h, i in keys:
+            x = h if h >> 58 == b else hashed([(b, 4), (h, 8)]) & ~low & mask
+            ranked.append((h >> 58 != b, signed(x | i), i, x >> 23))
+        return hashed([(x, 8) for _, x in sorted((i, x) for _, _, i, x in sorted(ranked)[:minima])]) & 0xFFFFFFFF
+
+    df = fingerprint.with_fingerprint(spark.createDataFrame([(t,) for t in texts], "text string"), "text", "f", refill=True)
+    assert [r["f"] for r in df.collect()] == [[whole(t, b) for b in range(64)] for t in texts]
+
+
+def test_query_refills_bins(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f g h")], "doc_id long, text string")
+    assert "-" not in fingerprint.compare_edits(rows).first()["fingerprint"]
+
+
 def test_fingerprint_edges(spark):
     got = fingerprint.compare_edits(docs(spark).withColumns({"range_": F.lit(1), "next_": F.lit(2), "f": F.lit(3), "edited": F.lit(4)})).collect()
     assert len(got) == len(TEXTS)

@@ -5,6 +5,10 @@ of ``bins`` bins (one permutation, cut into bins, instead of one for each signat
 smallest are selected, put back into the order of the text, and their tuple is hashed. Two fingerprints agree on a bin
 if the same k-mers are smallest there and stand in the same order, so their likeness follows the edit distance.
 
+A bin with fewer k-mers than ``minima`` holds no order. With ``refill`` each bin is a signature with a permutation of
+its own over all k-mers: those of its bin rank first, the others follow by a hash that is keyed by the bin. Only bins
+that are short of k-mers need that hash. ``compare_edits`` always does so.
+
 Everything is array functions on the row: texts aren't exploded and nothing is shuffled for a fingerprint.
 
 Defined cases: null and empty texts are one empty word; texts of fewer than k words have k-mers that end early; equal
@@ -21,6 +25,7 @@ from .common import bucket_count, written
 _SPACES = r"[\x20\x09-\x0D]+"
 _POSITION = (1 << 23) - 1
 _HASH41 = (1 << 41) - 1
+_LAST = (1 << 63) - 1
 
 
 def _high(x: Column) -> Column:
@@ -38,9 +43,11 @@ def _ends(values: Column, same, make) -> Column:
     return F.when(F.size(values) > 0, pairs)
 
 
-def with_fingerprint(df: DataFrame, text_col: str, out_col: str, *, k: int = 2, minima: int = 2, bins: int = 64) -> DataFrame:
+def with_fingerprint(df: DataFrame, text_col: str, out_col: str, *, k: int = 2, minima: int = 2, bins: int = 64, refill: bool = False) -> DataFrame:
     """df with the fingerprint of a text column: for each bin a 32-bit number, or null where no k-mer falls into it.
 
+    With ``refill`` no bin is null: one with fewer than ``minima`` k-mers takes the smallest others of the whole text.
+
     A k-mer's first occurrence has the k-mer's hash, later ones hash the number of the occurrence too. Each pass over
     the k-mers is one array function; what needs more works on the repeated ones, or on the selected ones.
     """
@@ -60,15 +67,28 @@ def with_fingerprint(df: DataFrame, text_col: str, out_col: str, *, k: int = 2,
     # the smallest of each bin: those that don't have so many of their bin before them
     df = df.withColumn(m, F.filter(r, lambda x, i: (i < minima) | (bin_of(x) != bin_of(F.get(r, i - minima)))))
 
+    def value(own: Column) -> Column:
+        in_order = F.sort_array(F.transform(own, lambda x: F.shiftleft(_low(x), 41).bitwiseOR(F.shiftrightunsigned(x, 23))))
+        return F.xxhash64(F.transform(in_order, lambda x: x.bitwiseAND(F.lit(_HASH41)))).bitwiseAND(F.lit(0xFFFFFFFF))
+
+    def smallest_others(b: Column, many: Column) -> Column:
+        permuted = F.transform(r, lambda x: F.when(bin_of(x) != b, _high(F.xxhash64(b, _high(x))).bitwiseOR(_low(x))).otherwise(F.lit(_LAST)))
+        return F.slice(F.sort_array(permuted), F.lit(1), many)
+
+    def signature(own: Column, b: Column) -> Column:
+        short = F.least(F.lit(minima), F.size(r)) - F.size(own)
+        return F.when(short > 0, value(F.concat(own, smallest_others(b, short)))).otherwise(value(own))
+
     def entry(a: Column, e: Column) -> Column:
         own = F.transform(F.sequence(a, e - 1), lambda i: F.get(m, i))
-        in_order = F.sort_array(F.transform(own, lambda x: F.shiftleft(_low(x), 41).bitwiseOR(F.shiftrightunsigned(x, 23))))
-        value = F.xxhash64(F.transform(in_order, lambda x: x.bitwiseAND(F.lit(_HASH41)))).bitwiseAND(F.lit(0xFFFFFFFF))
-        return F.struct(bin_of(F.get(m, a)).cast("int").alias("bin"), value.alias("value"))
+        return F.struct(bin_of(F.get(m, a)).cast("int").alias("bin"), (own if refill else value(own)).alias("value"))
 
     entries = F.map_from_entries(_ends(F.col(m), lambda x, y: bin_of(x) == bin_of(y), entry))
+    slot = F.try_element_at
+    if refill:
+        slot = lambda x, b: F.get(F.transform(F.array(F.coalesce(F.try_element_at(x, b), F.array().cast("array<long>"))), lambda own: signature(own, b)), F.lit(0))
     # bound by a lambda, or the optimiser would make the map anew for each bin
-    slots = F.transform(F.array(entries), lambda x: F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.try_element_at(x, b)))
+    slots = F.transform(F.array(entries), lambda x: F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: slot(x, b)))
     return df.withColumn(out_col, F.get(slots, F.lit(0))).drop(w, h, r, d, m)
 
 
@@ -118,7 +138,7 @@ def compare_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_", F.lit(1), half))
     rows = rows.select("range_", "doc_id", "tie_", "last_", "text", n.cast("long").alias("n_chars"), F.when(F.col("last_") == 0, edited).otherwise(F.lit("")).alias("edited"))
     rows = rows.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    rows = with_fingerprint(rows, "text", "f", **shape).drop("text")
-    rows = with_fingerprint(rows, "edited", "e", **shape).drop("edited")
+    rows = with_fingerprint(rows, "text", "f", refill=True, **shape).drop("text")
+    rows = with_fingerprint(rows, "edited", "e", refill=True, **shape).drop("edited")
     rows = rows.withColumn("g", F.lead("f").over(window)).where("last_ = 0")
     return rows.select("doc_id", "n_chars", "edited_sha256", shown(F.col("f")).alias("fingerprint"), shown(F.col("e")).alias("edited_fingerprint"), likeness(F.col("f"), F.col("e")).alias("near_edited"), likeness(F.col("f"), F.col("g")).alias("near_next"))
