@@ -424,6 +424,31 @@ def test_salvage():
     assert ids(b"") == [] and ids(b"\0" * 100) == [] and gaps(b"\0" * 100) == [(0, 100)]
 
 
+def test_salvage_inside_members():
+    rng = random.Random(6)
+    make = lambda i: warc.record("response", i, f"http://x/{i}", warc.response_block(p := rng.randbytes(3000)), warc._digest(p), None, "2020-01-01T00:00:00Z")
+    records = [make(i) for i in range(1, 6)]
+    lone = gzip.compress(make(9))
+    ids = lambda data: [x["page_id"] for k, _, _, x in warc.salvage(data) if k == "record"]
+    gaps = lambda data: [x for x in warc.salvage(data) if x[0] == "gap"]
+    size = [len(x) for x in records]
+    hurt = bytearray(b"".join(records))
+    hurt[sum(size[:3]) - 100] ^= 1  # in the payload of the third
+    member = gzip.compress(bytes(hurt))
+    assert ids(member + lone) == [1, 2, 4, 5, 9]
+    assert gaps(member + lone) == [("gap", 0, len(member), f"block digest at {sum(size[:2])} to {sum(size[:3])} of the member")]
+    hurt[0] ^= 1
+    assert ids(lone + gzip.compress(bytes(hurt))) == [9, 2, 4, 5]
+    member = gzip.compress(b"".join(records))
+    for level in (0, 6):  # stored bytes hold the version lines as they are
+        member = gzip.compress(b"".join(records), level)
+        cut = member[: len(member) * 7 // 10]
+        assert ids(cut) == [1, 2, 3] and len(gaps(cut)) == 1
+        assert ids(cut + lone) == [1, 2, 3, 9]
+        assert ids(member[:-4] + b"abcd" + lone) == [1, 2, 3, 4, 5, 9]  # only the length in the trailer is wrong
+    assert ids(cut + b"\n" + records[4]) == [1, 2, 3, 5]
+
+
 def test_archives(spark, tmp_path):
     rows = [(3, "u\r\nv", "same"), (1, None, "same"), (2, "u", None), (5, "u", ""), (None, "u", "same"), (7, "u", LONG), (7, "u", LONG), (8, "é", "WARC/1.1\r\n\r\n\x1f")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"payload": F.lit(1), "sha1": F.lit(2), "first": F.lit(3)})

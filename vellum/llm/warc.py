@@ -3,7 +3,8 @@
 Each record is a gzip member of its own. The writer hands members to Spark's text sink as they are, with an empty
 member for a line end, so files are committed like any table's and may lie in any store Spark writes to. The reader
 takes whole files from Spark's binary source. Where a check fails (member, header, length, end, digest) it looks for
-the next member or version line from which a valid record can be read, goes on there, and logs the bytes between.
+the next member or version line from which a valid record can be read, goes on there, and logs the bytes between. It
+does so inside members of several records as well, and in what can be decompressed of a broken member.
 
 Scale: payloads are compressed before the one shuffle, which joins them with the digests that occur more than once; a
 digest that very many pages share is a skewed join key, which Spark splits. Files hold at most ``file_records``.
@@ -30,6 +31,7 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _EMPTY = gzip.compress(b"", mtime=0)
 _HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n]+\r\n)+)\r\n")
 _NEXT = re.compile(rb"\x1f\x8b\x08|(?:(?<=\n)|\A)WARC/1\.")
+_VERSION = re.compile(rb"(?<=\n)WARC/1\.")
 _PAGE = re.compile(r"<urn:page:(-?\d+)>$")
 
 
@@ -130,33 +132,65 @@ def parse_record(data: bytes, at: int) -> tuple[int, dict]:
     }
 
 
-def _member(data: bytes, at: int) -> tuple[int, bytes]:
+def _member(data: bytes, at: int) -> tuple[int, bytes, bool]:
+    """Where a gzip member ends, what it holds, and whether it's whole; of a broken one, all that can be decompressed."""
     d, parts, fed = zlib.decompressobj(31), [], at
-    while not d.eof:
-        if fed >= len(data):
-            raise ValueError("member")
+    while not d.eof and fed < len(data):
         try:
             parts.append(d.decompress(data[fed : fed + 65536]))
-        except zlib.error as e:
-            raise ValueError("member") from e
+        except zlib.error:
+            d = zlib.decompressobj(31)  # an error drops what its call has decompressed: again, byte by byte
+            parts = [d.decompress(data[at:fed])]
+            try:
+                while True:
+                    parts.append(d.decompress(data[fed : fed + 1]))
+                    fed += 1
+            except zlib.error:
+                return fed, b"".join(parts), False
         fed = min(fed + 65536, len(data))
-    return fed - len(d.unused_data), b"".join(parts)
+    return fed - len(d.unused_data), b"".join(parts), d.eof
+
+
+def _inside(plain: bytes) -> Iterator[tuple[str, int, int, object]]:
+    """Over the bytes of a member: records and gaps, as salvage() has them."""
+    at, bad, why = 0, None, ""
+    while at < len(plain):
+        try:
+            end, fields = parse_record(plain, at)
+        except ValueError as e:
+            bad, why = (at, str(e)) if bad is None else (bad, why)
+            m = _VERSION.search(plain, at + 1)
+            at = m.start() if m else len(plain)
+            continue
+        if bad is not None:
+            yield "gap", bad, at, why
+            bad = None
+        yield "record", at, end, fields
+        at = end
+    if bad is not None:
+        yield "gap", bad, len(plain), why
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
-    """Over an archive: ("record", start, end, fields) and ("gap", start, end, the first check that failed there)."""
+    """Over an archive: ("record", start, end, fields) and ("gap", start, end, the first check that failed there).
+
+    Records of a member all have the member's start and end. A gap inside a member from which records come has them
+    too, and its note ends with the gap's offsets in the decompressed bytes.
+    """
     at, bad, why = 0, None, ""
     while at < len(data):
+        whole = True
         try:
             if data.startswith(b"\x1f\x8b\x08", at):
-                end, plain = _member(data, at)
-                inner, found = 0, []
-                while inner < len(plain):
-                    inner, fields = parse_record(plain, inner)
-                    found.append(fields)
+                end, plain, whole = _member(data, at)
+                found = list(_inside(plain))
+                if not whole and (not found or found[-1][0] == "record"):
+                    found.append(("gap", len(plain), len(plain), "member"))
+                if found and not any(kind == "record" for kind, *_ in found):
+                    raise ValueError(found[0][3] if whole else "member")
             elif data.startswith(b"WARC/1.", at):
                 end, fields = parse_record(data, at)
-                found = [fields]
+                found = [("record", at, end, fields)]
             else:
                 raise ValueError("no record")
         except ValueError as e:
@@ -167,9 +201,21 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
         if bad is not None:
             yield "gap", bad, at, why
             bad = None
-        for fields in found:
-            yield "record", at, end, fields
-        at = end
+        for kind, lo, hi, x in found:
+            yield kind, at, end, x if kind == "record" else f"{x} at {lo} to {hi} of the member"
+        if whole:
+            at = end
+            continue
+        # the next record may begin before the byte that decompression failed at; stored version lines have been read
+        nexts, read = _NEXT.finditer(data, at + 1), 0
+        at = len(data)
+        for m in nexts:
+            if m.start() >= end or data[m.start()] == 0x1F or (i := plain.find(data[m.start() : min(m.start() + 512, end)], read)) < 0:
+                at = m.start()
+                break
+            read = i + 1
+        if at > end:
+            bad, why = end, "member"
     if bad is not None:
         yield "gap", bad, len(data), why
 
