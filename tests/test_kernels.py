@@ -86,3 +86,33 @@ def test_otsu(spark):
 def test_null_raster(spark):
     df = spark.createDataFrame([(1, None), (2, [0] * 8)], "id int, px array<int>")
     assert [r["id"] for r in kernels.components(df, "id", 4).collect()] == [2]
+
+
+def test_tall_page_segments():
+    page = np.full((300, 60), 200)
+    lines = [(20, 40), (60, 80), (100, 120), (126, 146), (170, 190), (210, 230), (250, 270)]  # 6 rows between the third and the fourth
+    for a, b in lines:
+        page[a:b, 5:55] = 40
+    page[65:70] = 200  # 5 rows within a line: no band
+    got = kernels.segment(page)
+    inside = [[i for i, (a, b) in enumerate(lines) if x <= a and b <= y] for x, y in got]
+    assert [i for i in inside if i] == [[0], [1], [2], [3], [4], [5], [6]]
+    assert [i for x, y in kernels.segment(page, least_inner=6) if (i := [k for k, (a, b) in enumerate(lines) if x <= a and b <= y])] == [[0], [1], [2, 3], [4], [5], [6]]
+
+
+def test_segments_see_ink_by_otsu():
+    page = np.full((80, 40), 255)
+    page[40:60] = 0
+    page[10:20] = 160  # a stain, above the threshold
+    page[0:36] -= 60
+    rng = np.random.default_rng(1)
+    for px in (page, rng.integers(0, 256, (20, 20)), np.full((9, 8), 7)):
+        t = kernels.otsu(px)
+        assert kernels.segment(px) == kernels.segment(np.where(px <= t, 0, 255))
+
+
+def test_otsu_is_the_column_functions(spark):
+    rng = random.Random(8)
+    rows = [(i, [rng.choice((rng.randint(0, 90), rng.randint(120, 255))) for _ in range(64)]) for i in range(20)] + [(20, [5] * 64)]
+    got = spark.createDataFrame(rows, "id int, px array<int>").select("id", R.otsu(F.col("px")).alias("t")).collect()
+    assert {r["id"]: r["t"] for r in got} == {i: kernels.otsu(np.array(px)) for i, px in rows}

@@ -137,23 +137,57 @@ def cheapest_paths(rasters: DataFrame, key: str, width: int) -> DataFrame:
     return _each(rasters, key, width, "way array<int>, cost double", one)
 
 
-def segment(px: np.ndarray) -> list[tuple[int, int]]:
-    """First and end row of each text line: cut at the cheapest ways through the bands where the profile of ink is low."""
-    ink = (255 - px).sum(1)
-    low = np.flatnonzero(ink < (ink.max() - ink.min()) / 2 + ink.min())
+def otsu(px: np.ndarray) -> int:
+    """The threshold with the greatest variance between the classes up to it and above it; the smallest of equal ones."""
+    values, counts = np.unique(px, return_counts=True)
+    w, m = counts.cumsum().astype("f8"), (values * counts).cumsum().astype("f8")
+    rest = np.maximum(w[-1] - w, 1)
+    between = np.where(w < w[-1], (m * w[-1] - m[-1] * w) ** 2 / (w * rest), 0)
+    return int(values[between.argmax()])
+
+
+def _cuts(ink: np.ndarray, least_band: int, inner: bool) -> list[tuple[int, int]]:
+    """First and last row of the cheapest way through each band of more rows than least_band; inner: only of those off the edges."""
+    profile = ink.sum(1)
+    low = np.flatnonzero(profile < (profile.max() - profile.min()) / 2 + profile.min())
     bands = np.split(low, np.flatnonzero(np.diff(low) > 1) + 1) if len(low) else []
     cuts = []
     for band in bands:
-        part = (255 - px[band[0] : band[-1] + 1]).astype("f8")
+        if len(band) <= least_band or (inner and (band[0] == 0 or band[-1] == len(ink) - 1)):
+            continue
+        part = ink[band[0] : band[-1] + 1].astype("f8")
         way = cheapest(part, len(part) // 2, len(part) // 2)
         cuts.append((band[0] + min(way), band[0] + max(way)))
+    return cuts
+
+
+def _between(cuts: list[tuple[int, int]], rows: int) -> list[tuple[int, int]]:
     tops = [0, *[a for a, _ in cuts]]
-    ends = [*[b for _, b in cuts], len(px)]
+    ends = [*[b for _, b in cuts], rows]
     return [(int(a), int(b)) for a, b in zip(tops, ends, strict=True) if b > a]
 
 
-def segmented(rasters: DataFrame, key: str, width: int) -> DataFrame:
-    return _each(rasters, key, width, "line int, first_row int, end_row int", lambda px: [(i, a, b) for i, (a, b) in enumerate(segment(px))])
+def segment(px: np.ndarray, *, least_band: int = 10, least_inner: int = 3) -> list[tuple[int, int]]:
+    """First and end row of each text line: cut at the cheapest ways through the bands where the profile of ink is low.
+
+    Ink is what's up to Otsu's threshold; bands have more than ``least_band`` rows. Lines higher than the 90th
+    percentile are cut once more, at inner bands of more than ``least_inner`` rows.
+    """
+    ink = (px <= otsu(px)).astype(int)
+    lines = _between(_cuts(ink, least_band, False), len(px))
+    tall = np.percentile([b - a for a, b in lines], 90)
+    out = []
+    for a, b in lines:
+        parts = [(0, b - a)]
+        if b - a > tall:
+            own = (px[a:b] <= otsu(px[a:b])).astype(int)
+            parts = _between(_cuts(own, least_inner, True), b - a)
+        out += [(a + x, a + y) for x, y in parts]
+    return out
+
+
+def segmented(rasters: DataFrame, key: str, width: int, **options) -> DataFrame:
+    return _each(rasters, key, width, "line int, first_row int, end_row int", lambda px: [(i, a, b) for i, (a, b) in enumerate(segment(px, **options))])
 
 
 def resized(px: np.ndarray, h: int, w: int) -> np.ndarray:

@@ -130,7 +130,7 @@ def page_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def line_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text lines between the cheapest paths through the bands of low ink."""
-    return kernels.segmented(rasters(spark, sf_dir), "img_id", 8)
+    return kernels.segmented(rasters(spark, sf_dir), "img_id", 8, least_band=0)
 
 
 @query()
@@ -138,4 +138,4 @@ def transcribed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole way from a page's raster to its text, with the stand-in recogniser."""
     from .pipelines import transcribed
 
-    return transcribed(rasters(spark, sf_dir).withColumnRenamed("img_id", "page_id"), 8)
+    return transcribed(rasters(spark, sf_dir).withColumnRenamed("img_id", "page_id"), 8, least_band=0)
