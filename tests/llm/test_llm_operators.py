@@ -208,6 +208,12 @@ def test_toxicity_edges(spark):
 # --- 5
 
 
+def test_words_that_clean_rows_share_are_kept(spark):
+    """30 of 30 toxic and 10 of 1000 clean rows: log odds of 4.5, but less than four toxic rows a clean one."""
+    rows = [(i, "scum here" if i < 40 else "plain here", int(i < 30)) for i in range(1030)]
+    assert "scum" in toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, label int")).weights
+
+
 def test_templates():
     s = license_scan.Scanner({"x": "use <<optional>>of <<any:1-2>><</optional>> in source", "y": "in <<any:0-1>> source"})
     places = lambda t: s.places(license_scan.split_words(t.encode()))

@@ -141,7 +141,9 @@ def fit(rows: DataFrame, *, most_rows: int = 20_000, least: int = 3, odds: float
     if n > most_rows:
         rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * most_rows / n))
     counted = rows.mapInArrow(_counts(shortest, longest), "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    kept = counted.where((F.col("term") == "") | ((F.col("toxic") >= least) & (F.col("toxic") > 4 * F.col("clean"))))  # the rest can't have such odds
+    totals = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    ratio = float(np.exp(odds)) * (totals.get(1, 0) + 1) / (totals.get(0, 0) + 1) * (1 - 1e-9)
+    kept = counted.where((F.col("term") == "") | ((F.col("toxic") >= least) & (F.col("toxic") + 0.5 >= ratio * (F.col("clean") + 0.5))))  # the rest can't have such odds
     terms = {r["term"]: (r["clean"], r["toxic"]) for r in kept.orderBy(F.col("term") != "", F.desc(F.col("toxic") / (F.col("clean") + 1)), "term").limit(50_000).collect()}
     clean, toxic = terms.get("", (0, 0))
     lexicon = Lexicon(choose(terms, least=least, odds=odds) if clean and toxic else {}, exceptions)
