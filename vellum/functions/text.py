@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import string
+from collections import Counter
+from collections.abc import Iterator
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import edits
+
 #: What Python's str.strip() and split() take for white space, within ASCII.
 WHITE = " \t\n\r\x0b\x0c"
 _RUNS = r"[ \t\n\r\x0B\x0C]+"
@@ -31,6 +36,22 @@ def characters(c: Column) -> Column:
     return F.filter(F.split(c, ""), lambda x: x != "")
 
 
+def character_counts(df: DataFrame, text: str) -> DataFrame:
+    """ch, n (all places), docs (texts that hold it): counted by task, so a few rows for each task are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held = Counter(), Counter()
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                own = Counter(t or "")
+                total.update(own)
+                held.update(own.keys())
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64()), pa.array([held[x] for x in total], pa.int64())], ["ch", "n", "docs"])
+
+    counted = df.select(F.col(text).cast("string")).mapInArrow(run, "ch string, n long, docs long")  # no more rows than there are characters
+    return counted.groupBy("ch").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
 def lines(c: Column, *, keep_last_empty: bool = True) -> Column:
     """Text lines; a final line end gives an empty last line, or none if it isn't kept."""
     parts = F.split(c, "\n")
@@ -63,14 +84,10 @@ def match_key(c: Column) -> Column:
 
 
 def char_edits(a: Column, b: Column) -> Column:
-    return F.when(a == b, F.lit(0)).otherwise(F.levenshtein(a, b))
+    """Edit distance by code points."""
+    return F.when(a == b, F.lit(0)).otherwise(edits.of_texts(a, b))
 
 
 def word_edits(a: Column, b: Column) -> Column:
-    """Edit distance of two word arrays: each different word becomes one character, so the built-in distance does the work."""
-    known = F.array_distinct(F.concat(a, b))
-    # from U+0100, with a step over the surrogates
-    code = lambda w: F.array_position(known, w).cast("long") + 255
-    char = lambda n: F.decode(F.unhex(F.lpad(F.hex(F.when(n < 0xD800, n).otherwise(n + 0x800)), 8, "0")), "UTF-32")
-    coded = lambda x: F.array_join(F.transform(x, lambda w: char(code(w))), "")
-    return F.levenshtein(coded(a), coded(b))
+    """Edit distance of two word arrays."""
+    return F.when(a == b, F.lit(0)).otherwise(edits.of_words(a, b))

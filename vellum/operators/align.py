@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
+from ..functions.ranges import first_keys, numbered, range_of
 
 
 def runs(df: DataFrame, by: list[str], order: list[str], value: str, out: str) -> DataFrame:
@@ -66,10 +67,18 @@ def zipped(a: DataFrame, b: DataFrame, key: str, a_order: str, b_order: str) ->
 def by_running_offset(pages: DataFrame, lines: DataFrame, group: str, page: str, count: str, line: str, first: int = 0) -> DataFrame:
     """Lines of a group dealt out to its pages, each taking ``count`` of them in order.
 
-    Each page names its lines, so this is an equi-join, not a range join.
+    Each page names its lines, so this is an equi-join, not a range join. Running offsets are two-level: counts are
+    summed by the range of pages first, and a group of very many pages is several ranges.
     """
-    w = Window.partitionBy(group).orderBy(page)
-    own = pages.withColumn("hi_", F.sum(count).over(w) + first).withColumn("lo_", F.col("hi_") - F.col(count)).where(F.col(count) > 0)
+    key = [group, page]
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = pages.withColumn("range_", range_of(pages, key, first_keys(pages, key, n)))
+    sums = own.groupBy(F.col(group).alias("group_"), F.col("range_").alias("of_")).agg(F.sum(count).alias("sum_"))
+    sums = sums.withColumn("ahead_", F.sum("sum_").over(Window.partitionBy("group_").orderBy("of_")) - F.col("sum_")).drop("sum_")
+    own = own.withColumn("in_", F.sum(count).over(Window.partitionBy(group, "range_").orderBy(page)))
+    own = own.join(sums, F.col(group).eqNullSafe(F.col("group_")) & (F.col("range_") == F.col("of_")))
+    own = own.withColumn("hi_", F.col("in_") + F.col("ahead_") + first).drop("range_", "of_", "in_", "ahead_", "group_")
+    own = own.withColumn("lo_", F.col("hi_") - F.col(count)).where(F.col(count) > 0)
     own = own.withColumn(line, F.explode(F.sequence(F.col("lo_"), F.col("hi_") - 1))).drop("lo_", "hi_")
     return own.join(lines, [group, line])
 
@@ -83,4 +92,4 @@ def last_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 def renumbered(df: DataFrame, order: list[str], base: int, out: str = "index") -> DataFrame:
     """A running number from base over all rows."""
-    return df.withColumn(out, F.row_number().over(Window.orderBy(*order)) - 1 + base)
+    return numbered(df, order).withColumn(out, F.col("i_") + base).drop("i_", "all_")

@@ -5,24 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _numbered(df: DataFrame, order: list) -> DataFrame:
-    """A position over all rows, from 0, without gathering them.
-
-    Rows are dealt to ranges of the order; a range's rows are numbered within it, and only ranges' sizes meet in one task.
-    """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *order).withColumn("part_", F.spark_partition_id())
-    dealt = dealt.withColumn("in_", F.row_number().over(Window.partitionBy("part_").orderBy(*order)) - 1)
-    sizes = dealt.groupBy("part_").agg(F.count(F.lit(1)).alias("size_"))
-    sizes = sizes.withColumn("ahead_", F.sum("size_").over(Window.orderBy("part_")) - F.col("size_")).withColumn("all_", F.sum("size_").over(Window.partitionBy(F.lit(0))))
-    return dealt.join(sizes, "part_").withColumn("i_", F.col("in_") + F.col("ahead_")).drop("part_", "in_", "size_", "ahead_")
-
+from ..functions.ranges import numbered
 
 def head_tail(df: DataFrame, order: list, part: int, of: int, *, lossy: bool = False, names: tuple[str, str] = ("train", "test")) -> DataFrame:
     """The first part / of rows of an order and the rest, sizes exact; lossy leaves out the row at the border."""
     border = F.floor(F.col("all_") * part / of)
-    own = _numbered(df, order)
+    own = numbered(df, order)
     own = own.where(F.col("i_") != border) if lossy else own
     return own.withColumn("split", F.when(F.col("i_") < border, names[0]).otherwise(names[1])).drop("i_", "all_")
 
@@ -37,12 +25,12 @@ def last_of(df: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame
 
 
 def batched(df: DataFrame, order: list[str], size: int) -> DataFrame:
-    return _numbered(df, order).withColumn("batch", F.floor(F.col("i_") / size)).drop("i_", "all_")
+    return numbered(df, order).withColumn("batch", F.floor(F.col("i_") / size)).drop("i_", "all_")
 
 
 def with_replacement(df: DataFrame, order: list[str], n: int, seed: int) -> DataFrame:
     """n draws of any rows: each draw's hash picks a position."""
-    rows = _numbered(df, order)
+    rows = numbered(df, order)
     total = df.count()
     draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(total, 1))).alias("i_"))
     return draws.join(rows.drop("all_"), "i_").drop("i_")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions import text as T
 from ..functions import tokens as K
+from ..functions.ranges import numbered
 from ..operators import align, metrics, splits
 from .registry import query
 from .standins import SQL_BYTES, SQL_LINES, SQL_RECOGNISED, lines, read, recognised
@@ -71,7 +72,23 @@ SELECT source, ref_words, pred_words, round(CASE WHEN least(c1.hits, c2.hits, c3
   CASE WHEN pred_words >= ref_words THEN 1 ELSE exp(1 - ref_words / pred_words) END * exp((ln(c1.hits / c1.all_) + ln(c2.hits / c2.all_) + ln(c3.hits / c3.all_) + ln(c4.hits / c4.all_)) / 4) ELSE 0 END, 9) AS bleu
 FROM l JOIN c1 USING (source) JOIN c2 USING (source) JOIN c3 USING (source) JOIN c4 USING (source)""")
 def bleu4_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.corpus_bleu(scored(spark, sf_dir), "text", "pred", ["source"], ["doc_id", "line_no"])
+    return metrics.corpus_bleu(scored(spark, sf_dir), "text", "pred", ["source"])
+
+
+@query()
+def macro_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.macro_means(scored(spark, sf_dir), "text", "pred", ["lang"])
+
+
+@query()
+def joined_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of eight lines, each as one text."""
+    return metrics.joined_wer(scored(spark, sf_dir), "text", "pred", "source", ["doc_id", "line_no"], 8)
+
+
+@query()
+def metric_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.bundle(scored(spark, sf_dir), "text", "pred", ["lang"])
 
 
 @query()
@@ -101,7 +118,8 @@ SELECT lang, key, spellings, n FROM m WHERE spellings > 1""")
 def interchangeable_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys under which several spellings of a word meet."""
     words = read(spark, sf_dir, "documents").select("lang", F.explode(T.tokens(F.col("text"))).alias("word"))
-    return words.groupBy("lang", T.match_key(F.col("word")).alias("key")).agg(F.countDistinct("word").alias("spellings"), F.count(F.lit(1)).alias("n")).where("spellings > 1")
+    counted = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))  # the vocabulary; all that follows is small
+    return counted.groupBy("lang", T.match_key(F.col("word")).alias("key")).agg(F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("n")).where("spellings > 1")
 
 
 @query(f"SELECT doc_id, line_no::INT AS line_no, translate(text, 'çÇ', 'zZ') AS text FROM {SQL_LINES}")
@@ -120,9 +138,7 @@ def dehyphenate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT ch, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY ch")
 def char_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chars = read(spark, sf_dir, "documents").select("doc_id", F.explode(T.characters(F.col("text"))).alias("ch"))
-    per_doc = chars.groupBy("ch", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return per_doc.groupBy("ch").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
+    return T.character_counts(read(spark, sf_dir, "documents"), "text")
 
 
 @query("SELECT lang, max(length(w))::INT AS most FROM (SELECT lang, unnest(string_split(text, ' ')) AS w FROM documents) GROUP BY lang")
@@ -159,11 +175,13 @@ def eos_pad_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _words(spark, sf_dir).select("w", F.array_join(ids.cast("array<string>"), " ").alias("ids"))
 
 
-@query(f"SELECT w, left(w, 20) AS decoded FROM {_WORDS}")
+@query(f"SELECT w, regexp_replace(left(w, 20), '[^a-z]', '?', 'g') AS decoded FROM {_WORDS}")
 def decode_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decoding gives the first 20 characters back."""
-    raw = F.concat(F.substring("w", 1, 20), F.lit("<EOS>"), F.repeat(F.lit("<PAD>"), F.lit(3)))
-    return _words(spark, sf_dir).select("w", K.cut_at_markers(raw, "<PAD>", "<EOS>").alias("decoded"))
+    """Words to ids and back: the first 20 characters, unknown ones as a mark, and nothing of what stands for end and padding."""
+    ids = K.encoded_with_end(F.col("w"), _vocab(4), unknown=3, end=1, pad=2)
+    shown = F.create_map(F.lit(3), F.lit("?"), F.lit(1), F.lit("<EOS>"), F.lit(2), F.lit("<PAD>"), *[x for i, c in enumerate(_ALPHABET) for x in (F.lit(4 + i), F.lit(c))])
+    whole = F.array_join(F.transform(ids, lambda i: F.try_element_at(shown, i)), "")
+    return _words(spark, sf_dir).select("w", K.cut_at_markers(whole, "<PAD>", "<EOS>").alias("decoded"))
 
 
 @query(f"SELECT doc_id, line_no::INT AS line_no, len(list_filter(string_split_regex(text, '[ \\t\\n\\r\\x0B\\x0C]+'), lambda x: x <> ''))::INT AS n_words, length(trim(text, ' \t\n\r' || chr(11) || chr(12)))::INT AS n_chars FROM {SQL_LINES}")
@@ -250,7 +268,7 @@ SELECT o.source, o.doc_id AS page, l.line, l.line_doc FROM o JOIN l ON l.source
 def running_offset_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("source", "doc_id")
     pages = docs.select("source", F.col("doc_id").alias("page"), (1 + F.col("doc_id") % 4).alias("n"))
-    own = docs.select("source", F.col("doc_id").alias("line_doc"), (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("long").alias("line"))
+    own = numbered(docs, ["doc_id"], ["source"]).select("source", F.col("doc_id").alias("line_doc"), F.col("i_").alias("line"))
     return align.by_running_offset(pages, own, "source", "page", "n", "line").select("source", "page", "line", "line_doc")
 
 
@@ -295,6 +313,12 @@ def last_wins_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.last_wins(words, ["word"], ["doc_id", "pos"]).select("word", "doc_id", "pos")
 
 
+@query("SELECT turn, conv_id, 100 + row_number() OVER (ORDER BY conv_id, turn) - 1 AS index FROM conversations")
+def renumber_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of all folders under one running number, from where the last run ended."""
+    return align.renumbered(read(spark, sf_dir, "conversations").select("turn", "conv_id"), ["conv_id", "turn"], 100)
+
+
 @query("SELECT source, (max(doc_id) + row_number() OVER (ORDER BY source))::BIGINT AS next FROM documents GROUP BY source")
 def next_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where renumbered copies of each source would go on."""
