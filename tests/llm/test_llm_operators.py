@@ -88,46 +88,45 @@ def test_chats(spark):
 # --- 3
 
 
-def reference_fingerprint(text, k=2, minima=2, bins=64):
-    """Order MinHash again, in plain Python."""
-    mask, signed = (1 << 64) - 1, lambda x: x - (1 << 64) if x >> 63 else x
-    as_long = lambda x: (x & mask).to_bytes(8, "little")
-    spark_hash = lambda *parts: _chained(parts)
+def reference_fingerprint(text, k=2, minima=2, signatures=64, orders=2):
+    """Order MinHash again, in plain Python: each signature ranks all k-mers by how far they follow its point."""
+    mask, low = (1 << 64) - 1, (1 << 31) - 1
 
-    def _chained(parts):
+    def hashed(*parts):
         seed = 42
-        for p in parts:
-            if isinstance(p, str):
-                seed = xxhash.xxh64_intdigest(p.encode(), seed)
-            elif isinstance(p, tuple):  # an int
-                seed = xxhash.xxh64_intdigest(p[0].to_bytes(4, "little"), seed)
-            else:
-                seed = xxhash.xxh64_intdigest(as_long(p), seed)
+        for p in parts:  # strings, longs, and ints as (int,)
+            data = p.encode() if isinstance(p, str) else p[0].to_bytes(4, "little") if isinstance(p, tuple) else (p & mask).to_bytes(8, "little")
+            seed = xxhash.xxh64_intdigest(data, seed)
         return seed
 
-    low = (1 << 23) - 1
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
     w = re.split("[ \t-\r]+", text)
-    kmers = [spark_hash(*w[i : i + k]) & ~low & mask for i in range(len(w))]
-    order = sorted((signed(h | min(i, low)), h, min(i, low)) for i, h in enumerate(kmers))
     seen, keys = {}, []
-    for _, h, i in order:
-        occ = seen[h] = seen.get(h, -1) + 1
-        keys.append(((spark_hash(h, (occ,)) if occ else h) & ~low & mask) | i)
-    out = [None] * bins
-    for b in range(bins):
-        own = sorted(signed(x) for x in keys if x >> (64 - bins.bit_length() + 1) == b)[:minima]
-        if own:
-            at = sorted(signed((((x & low) << 41) | ((x & mask) >> 23)) & mask) for x in own)
-            out[b] = spark_hash(*[x & ((1 << 41) - 1) for x in at]) & 0xFFFFFFFF
+    for i in range(len(w)):
+        h = hashed(*w[i : i + k]) & ~low & mask
+        n = seen[h] = seen.get(h, -1) + 1
+        keys.append((hashed(h, (n,)) & ~low & mask if n else h, i))
+    points = signatures // orders
+    out = []
+    for o in range(orders):
+        ring = [(hashed(h, (o,)) & ~low & mask if o else h, i) for h, i in keys]
+        for p in range(points):
+            point = (p << 64) // points - (1 << 63)  # the ring begins with the smallest signed number
+            first = sorted(ring, key=lambda x: ((signed(x[0]) - point) % (1 << 64), x[1]))[:minima]
+            out.append(hashed(*[h >> 31 for h, _ in sorted(first, key=lambda x: (x[1], x[0]))]) & 0xFFFFFFFF)
     return out
 
 
 def test_fingerprint_by_brute_force(spark):
     rng = random.Random(3)
-    texts = ["", " ", "a", "a b", "b a", "a a a a a", *[" ".join(rng.choice("abcdé") for _ in range(rng.randint(1, 80))) for _ in range(20)]]
-    df = fingerprint.with_fingerprint(spark.createDataFrame([(t,) for t in texts], "text string"), "text", "f")
-    assert [r["f"] for r in df.collect()] == [reference_fingerprint(t) for t in texts]
+    texts = ["", " ", "a", "a b", "b a", "a a a a a", *[" ".join(rng.choice("abcdé") for _ in range(rng.randint(1, 80))) for _ in range(20)], *[" ".join(f"w{rng.randrange(900)}" for _ in range(n)) for n in (20, 100, 700)]]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    for orders in (1, 2, 8):
+        df = fingerprint.with_fingerprint(frame, "text", "f", orders=orders)
+        assert [r["f"] for r in df.collect()] == [reference_fingerprint(t, orders=orders) for t in texts]
     assert reference_fingerprint("a b c d e f") != reference_fingerprint("f e d c b a")
+    other = fingerprint.with_fingerprint(frame, "text", "f", k=3, minima=3, signatures=16)
+    assert [r["f"] for r in other.collect()] == [reference_fingerprint(t, 3, 3, 16) for t in texts]
 
 
 def swapped_likeness(spark, n, **options):
@@ -141,41 +140,24 @@ def swapped_likeness(spark, n, **options):
 
 @pytest.mark.parametrize("n", [20, 40, 100])
 def test_short_texts_keep_order(spark, n):
-    assert swapped_likeness(spark, n, refill=True) < 0.55
-
-
-def test_refilled_bins_by_brute_force(spark):
-    rng = random.Random(5)
-    texts = ["", "a", "a b", "a b c", *[" ".join(rng.choice("abcdé") for _ in range(n)) for n in (5, 30, 90)], " ".join(f"w{i}" for i in range(300))]
-    low, mask = (1 << 23) - 1, (1 << 64) - 1
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-
-    def hashed(parts):
-        seed = 42
-        for p, size in parts:
-            seed = xxhash.xxh64_intdigest(p.encode() if size is None else (p & mask).to_bytes(size, "little"), seed)
-        return seed
-
-    def whole(text, b, minima=2):
-        w = re.split("[ \t-\r]+", text)
-        kmers = [hashed([(x, None) for x in w[i : i + 2]]) & ~low & mask for i in range(len(w))]
-        seen, keys = {}, []
-        for _, h, i in sorted((signed(h | i), h, i) for i, h in enumerate(kmers)):
-            occ = seen[h] = seen.get(h, -1) + 1
-            keys.append((hashed([(h, 8), (occ, 4)]) & ~low & mask if occ else h, i))
-        ranked = []
-        for h, i in keys:
-            x = h if h >> 58 == b else hashed([(b, 4), (h, 8)]) & ~low & mask
-            ranked.append((h >> 58 != b, signed(x | i), i, x >> 23))
-        return hashed([(x, 8) for _, x in sorted((i, x) for _, _, i, x in sorted(ranked)[:minima])]) & 0xFFFFFFFF
-
-    df = fingerprint.with_fingerprint(spark.createDataFrame([(t,) for t in texts], "text string"), "text", "f", refill=True)
-    assert [r["f"] for r in df.collect()] == [[whole(t, b) for b in range(64)] for t in texts]
-
-
-def test_query_refills_bins(spark):
-    rows = spark.createDataFrame([(1, "a b c d e f g h")], "doc_id long, text string")
-    assert "-" not in fingerprint.compare_edits(rows).first()["fingerprint"]
+    """A pair stays in order if both its k-mers are in one half; of n k-mers one or two are new."""
+    assert 0.25 < swapped_likeness(spark, n) < 0.55
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string", "int"])
+def test_ranges_meet(spark, kind):
+    """Whatever the ranges are, the next document by id, hash of the text and row follows."""
+    rng = random.Random(8)
+    rows = [(None if i % 5 == 0 else rng.randrange(40), f"t{rng.randrange(4)} x{i % 3}") for i in range(300)] + [(7, "the same")] * 100
+    frame = spark.createDataFrame([(None if a is None else a, t) for a, t in rows], "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind)).repartition(5)
+    df, window = fingerprint.in_neighbourhoods(frame)
+    got = df.withColumn("next_", F.lead(F.struct("doc_id", "tie_", "text")).over(window)).where("last_ = 0")
+    assert got.select("range_").distinct().count() > 20
+    key = lambda i, t: (i is not None, i if i is not None else 0, t)
+    every = sorted(((r["doc_id"], r["tie_"], r["text"], r["next_"]) for r in got.collect()), key=lambda r: (key(r[0], r[1]), r[3] is not None and (r[3]["doc_id"], r[3]["tie_"]) != (r[0], r[1])))
+    assert len(every) == 400
+    for a, b in zip(every, every[1:] + every[:1], strict=True):
+        assert (a[3]["doc_id"], a[3]["tie_"], a[3]["text"]) == b[:3]
 
 
 def test_fingerprint_edges(spark):
