@@ -332,6 +332,17 @@ def test_near_duplicate_edges(spark):
     assert near_dedup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, b = "a b c d e f g h", "k l m n o p"
+    rows = [(3, a), (5, a), (5, b), (5, b), (6, b.upper()), (7, b), (None, a), (None, a), (8, ""), (8, ""), (9, None), (4, LONG), (2, LONG + "x"), (2, LONG + "x")]
+    frame = docs(spark, rows).drop("bucket", "words", "rank_", "key").withColumns({"row": F.lit(1), "keep": F.lit(2), "digest": F.lit(3), "stays": F.lit(4), "id_": F.lit(5), "row_": F.lit(6)})
+    got = near_dedup.deduplicated(frame, k=2)
+    assert got.columns == frame.columns
+    key = lambda r: (r[0] is None, r[0], r[1] or "")
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=key) == sorted([(3, a), (5, b), (None, a), (None, a), (8, ""), (8, ""), (9, None), (4, LONG), (2, LONG + "x")], key=key)
+    assert near_dedup.deduplicated(frame.limit(0)).count() == 0
+
+
 def test_sketches_estimate_and_merge():
     rng = np.random.default_rng(1)
     x = np.sort(rng.integers(0, 2**63, 3000, dtype="u8"))
