@@ -7,8 +7,9 @@ keys that pass level 1, level 3 one of the listed keys that pass level 2, and so
 keys of the corpus are tried while it's built, so on them its answers are exact, and judging a URL takes no join.
 
 Scale: keys are deduplicated by a pre-aggregated shuffle; a level's bits are OR-ed on the executors and take about
-1.44 * log2(other keys / listed keys) bits a listed key, as a scalar subquery's one value. The list may take
-``most_bytes``; beyond that the keys are marked by a shuffled join.
+1.44 * log2(other keys / listed keys) bits a listed key, as a scalar subquery's one value. No filter takes more than
+``most_bytes``: a longer list is split by a hash of the key into shards with a cascade each, which judge the URLs one
+after the other, so a list of any length is matched by its cascades alone.
 
 Defined cases: a null URL, or one without "://", has an empty host and path; a null page id is kept; repeated rows are
 judged each; empty lists match nothing; of two rules of equal length, block wins; an empty table gives an empty result.
@@ -22,6 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import Bloom
 from .common import ascii_lower, written
 
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -33,41 +35,11 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return ascii_lower(F.regexp_extract(url, _URL, 1)), F.regexp_extract(url, _URL, 2)
 
 
-@dataclass
-class Level:
-    bits: int
-    hashes: int
-    seed: int
-    words: Column | None = None
-
-    def positions(self, key: Column) -> list[Column]:
-        h = F.xxhash64(key, F.lit(self.seed))
-        a, b = F.shiftrightunsigned(h, 33), h.bitwiseAND(F.lit(0x7FFFFFFF))
-        return [F.pmod(a + F.lit(j) * b, F.lit(self.bits)) for j in range(self.hashes)]
-
-    def built(self, keys: DataFrame) -> Level:
-        """With the bits of all keys."""
-        at = keys.select(F.explode(F.array(*self.positions(F.col("key")))).alias("p"))
-        words = at.groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("v"))
-        every = keys.sparkSession.range(-(-self.bits // 64)).withColumnRenamed("id", "w")
-        whole = every.join(words, "w", "left").select(F.struct("w", F.coalesce("v", F.lit(0).cast("long")).alias("v")).alias("s"))
-        held = written(whole.agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["v"]).alias("words")), "level")
-        self.words = held.scalar()
-        return self
-
-    def holds(self, key: Column) -> Column:
-        tests = [F.getbit(F.element_at(self.words, (F.floor(p / 64) + 1).cast("int")), F.pmod(p, F.lit(64)).cast("int")) == 1 for p in self.positions(key)]
-        out = tests[0]
-        for t in tests[1:]:
-            out = out & t
-        return out
-
-
 @dataclass
 class Cascade:
     """Which keys of a universe are listed."""
 
-    levels: list[Level]
+    levels: list[Bloom]
 
     def contains(self, key: Column) -> Column:
         """True where all levels up to an odd one hold the key and the next, if any, doesn't."""
@@ -77,22 +49,17 @@ class Cascade:
         return out
 
 
-def build_cascade(universe: DataFrame, listed: DataFrame, *, most_bytes: int = 64 << 20) -> Cascade | None:
-    """universe and listed have a column key; None if a filter would take more than most_bytes."""
-    keys = written(universe.select("key").where(F.col("key").isNotNull()).distinct(), "keys")
-    inside = written(keys.join(listed.select("key").distinct(), "key", "left_semi"), "listed")
-    r, all_keys = inside.count(), keys.count()
+def build_cascade(universe: DataFrame, listed: DataFrame) -> Cascade:
+    """universe and listed have a column key: the keys that are asked about, without repeats, and those of them that are listed."""
+    r, all_keys = listed.count(), universe.count()
     if not r:
         return Cascade([])
-    outside = keys.join(inside, "key", "left_anti")
+    inside, outside = listed, universe.join(listed, "key", "left_anti")
     rate = min(0.5, math.sqrt(0.5) * r / max(1, all_keys - r))
-    levels: list[Level] = []
+    levels: list[Bloom] = []
     n = r
     while True:
-        bits = max(64, math.ceil(n * math.log(1 / rate) / math.log(2) ** 2))
-        if bits > 8 * most_bytes:
-            return None
-        levels.append(Level(bits, max(1, round(math.log2(1 / rate))), len(levels) + 1).built(inside))
+        levels.append(Bloom.sized(n, rate, seed=len(levels) + 1).built(inside))
         passing = written(outside.where(levels[-1].holds(F.col("key"))), "passing")
         n = passing.count()
         if not n:
@@ -100,15 +67,31 @@ def build_cascade(universe: DataFrame, listed: DataFrame, *, most_bytes: int = 6
         inside, outside, rate = passing, inside, 0.5
 
 
-def _shapes(rules: DataFrame) -> list[tuple[int, int]]:
-    """Different (labels, path length) of the rules: what a list looks like, a few dozen pairs however long it is."""
+def shard_of(key: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(shards))
+
+
+def build_cascades(universe: DataFrame, listed: DataFrame, *, most_bytes: int = 64 << 20) -> list[Cascade]:
+    """A cascade for each shard of the keys; as many shards as it takes for no filter to be larger than most_bytes."""
+    keys = written(universe.select("key").where(F.col("key").isNotNull()).distinct(), "keys")
+    inside = written(keys.join(listed.select("key").distinct(), "key", "left_semi"), "listed")
+    r, all_keys = inside.count(), keys.count()
+    rate = min(0.5, math.sqrt(0.5) * r / max(1, all_keys - r)) if r else 0.5
+    shards = max(1, math.ceil(1.1 * Bloom.sized(r, rate).bits / (8 * most_bytes)))
+    if shards == 1:
+        return [build_cascade(keys, inside)]
+    return [build_cascade(*[x.where(shard_of(F.col("key"), shards) == i) for x in (keys, inside)]) for i in range(shards)]
+
+
+def _shapes(rules: DataFrame) -> list[tuple[str, int, int]]:
+    """Different (list, labels, path length) of the rules: what lists look like, a few dozen however long they are."""
     host = F.substring_index("rule", "/", 1)
     labels = F.length(host) - F.length(F.translate(host, ".", "")) + 1
-    rows = rules.select(labels.alias("labels"), (F.length("rule") - F.length(host)).alias("chars")).distinct().collect()
-    return sorted((r["labels"], r["chars"]) for r in rows)
+    rows = rules.select("action", labels.alias("labels"), (F.length("rule") - F.length(host)).alias("chars")).distinct().collect()
+    return sorted((r["action"], r["labels"], r["chars"]) for r in rows)
 
 
-def _key(host: Column, path: Column, labels: int, chars: int) -> Column:
+def _beginning(host: Column, path: Column, labels: int, chars: int) -> Column:
     """The beginning of a URL with that shape, null if it's shorter."""
     fits = F.length(host) - F.length(F.translate(host, ".", "")) + 1 >= labels
     return F.when(fits & (F.length(path) >= chars) & (host != ""), F.concat(F.substring_index(host, ".", -labels), F.substring(path, 1, chars)))
@@ -118,35 +101,26 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, *, id_col: str
     """page_id, host, path, rule, verdict for each page.
 
     rules: rule (host and beginning of a path), action (allow or block); the longest that fits decides. listed: rule;
-    URLs that no rule fits are blocked if such an entry fits, else allowed.
+    URLs that no rule fits are blocked if such an entry fits, else allowed. All lists are one: a key names its list.
     """
-    rules = rules.select(F.col("rule"), F.col("action")).where(F.col("rule").isNotNull() & F.col("action").isin("allow", "block"))
-    listed = listed.select(F.col("rule")).where(F.col("rule").isNotNull())
+    rules = rules.select("rule", "action").where(F.col("rule").isNotNull() & F.col("action").isin("allow", "block"))
+    rules = rules.unionByName(listed.select("rule", F.lit("listed").alias("action")).where(F.col("rule").isNotNull()))
     host, path = host_and_path(F.col(url_col))
     urls = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    marks: dict[str, tuple[list[tuple[int, int]], object]] = {}
-    for name, entries in (("block", rules.where("action = 'block'")), ("allow", rules.where("action = 'allow'")), ("listed", listed)):
-        shapes = _shapes(entries)
-        keys = [_key(F.col("host"), F.col("path"), *s) for s in shapes]
-        entries = entries.select(F.col("rule").alias("key"))
-        universe = urls.select(F.explode(F.array(*keys)).alias("key")) if keys else entries.limit(0)
-        marks[name] = shapes, build_cascade(universe, entries, most_bytes=most_bytes) or entries
-    for name, (shapes, found) in marks.items():
-        for i, s in enumerate(shapes):
-            key, col = _key(F.col("host"), F.col("path"), *s), f"{name}_{i}"
-            if isinstance(found, Cascade):
-                urls = urls.withColumn(col, F.when(found.contains(key), key))
-            else:  # too long a list for a filter
-                urls = urls.withColumn("key_", key).join(found.distinct().select(F.col("key").alias("key_"), F.col("key").alias(col)), "key_", "left").drop("key_")
-    fits = [
-        F.when(F.col(f"{name}_{i}").isNotNull(), F.struct(F.length(f"{name}_{i}").alias("n"), F.lit(name).alias("action"), F.col(f"{name}_{i}").alias("rule")))
-        for name in ("allow", "block")
-        for i in range(len(marks[name][0]))
-    ]
-    best = F.array_max(F.array(*fits)) if fits else F.lit(None).cast("struct<n:int,action:string,rule:string>")
-    on_list = F.coalesce(*[F.col(f"listed_{i}").isNotNull() for i in range(len(marks["listed"][0]))] or [F.lit(False)])
-    for i in range(1, len(marks["listed"][0])):
-        on_list = on_list | F.col(f"listed_{i}").isNotNull()
-    urls = urls.withColumn("best_", best)
+    shapes = _shapes(rules)
+    beginnings = [_beginning(F.col("host"), F.col("path"), labels, chars) for _, labels, chars in shapes]
+    keys = [F.concat(F.lit(action + " "), x) for (action, _, _), x in zip(shapes, beginnings, strict=True)]
+    fit = "array<struct<n:int,action:string,rule:string>>"
+    urls = urls.withColumn("fits_", F.array().cast(fit))
+    if shapes:
+        cascades = build_cascades(urls.select(F.explode(F.array(*keys)).alias("key")), rules.select(F.concat("action", F.lit(" "), "rule").alias("key")), most_bytes=most_bytes)
+        for i, cascade in enumerate(cascades):
+            holds = [cascade.contains(k) & (shard_of(k, len(cascades)) == i) for k in keys]
+            found = [F.when(h, F.struct(F.length(x).alias("n"), F.lit(action).alias("action"), x.alias("rule"))) for h, x, (action, _, _) in zip(holds, beginnings, shapes, strict=True)]
+            urls = urls.withColumn("fits_", F.concat("fits_", F.array_compact(F.array(*found)).cast(fit)))
+            if i + 1 < len(cascades):  # one shard's filters at a time
+                urls = written(urls, "judged")
+    urls = urls.withColumn("best_", F.array_max(F.filter("fits_", lambda x: x["action"] != "listed")))
+    on_list = F.exists("fits_", lambda x: x["action"] == "listed")
     verdict = F.when(F.col("best_").isNotNull(), F.col("best_.action")).when(on_list, "block").otherwise("allow")
     return urls.select("page_id", "host", "path", F.col("best_.rule").alias("rule"), verdict.alias("verdict"))
