@@ -39,18 +39,24 @@ def test_url_filters(spark):
     )
     assert url_filter.judge(pages.limit(0), rules, listed).count() == 0
     assert {r["verdict"] for r in url_filter.judge(pages, rules.limit(0), listed.limit(0)).collect()} == {"allow"}
-    by_join = url_filter.judge(pages, rules, listed, most_bytes=0).collect()
-    assert sorted(((r["page_id"] or 0, r["host"][:20], r["rule"], r["verdict"]) for r in by_join), key=str) == got
+    by_shards = url_filter.judge(pages, rules, listed, most_bytes=3).collect()
+    assert sorted(((r["page_id"] or 0, r["host"][:20], r["rule"], r["verdict"]) for r in by_shards), key=str) == got
 
 
-def test_cascade_is_exact(spark):
+@pytest.mark.parametrize("most_bytes", [1 << 20, 64])
+def test_cascades_are_exact(spark, most_bytes):
     rng = random.Random(4)
     keys = [f"k{i}" for i in range(3000)]
     listed = set(rng.sample(keys, 300))
     universe = spark.createDataFrame([(k,) for k in keys] * 2, "key string")
-    cascade = url_filter.build_cascade(universe, spark.createDataFrame([(k,) for k in [*listed, "elsewhere"]], "key string"))
-    assert len(cascade.levels) > 1
-    got = {r["key"] for r in universe.where(cascade.contains(F.col("key"))).collect()}
+    cascades = url_filter.build_cascades(universe, spark.createDataFrame([(k,) for k in [*listed, "elsewhere"]], "key string"), most_bytes=most_bytes)
+    assert len(cascades[0].levels) > 1
+    assert (len(cascades) == 1) == (most_bytes > 64)
+    assert all(level.bits <= 8 * most_bytes for c in cascades for level in c.levels)
+    holds = F.lit(False)
+    for i, c in enumerate(cascades):
+        holds = holds | (c.contains(F.col("key")) & (url_filter.shard_of(F.col("key"), len(cascades)) == i))
+    got = {r["key"] for r in universe.where(holds).collect()}
     assert got == listed
 
 
@@ -187,6 +193,87 @@ def test_toxicity_edges(spark):
     assert toxicity.score(docs(spark, []), lexicon).count() == 0
 
 
+def test_toxicity_by_brute_force(spark):
+    """Counts, weights, matches and scores once more, in plain Python, without automaton or sums by task."""
+    rng = random.Random(12)
+    plain, bad = [f"word{i % 26 and chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120)], ["idiot", "idiots", "scum", "scumbag", "vile"]
+    rows = []
+    for i in range(400):
+        own = [rng.choice(plain) for _ in range(rng.randint(0, 60))]
+        label = int(i % 5 == 0)
+        own += [rng.choice(bad) for _ in range(rng.randint(1, 4))] if label else ["trash", "can"] * rng.randint(0, 1)
+        rng.shuffle(own)
+        rows.append((i, rng.choice([" ", ", ", " - "]).join(own).replace("i", rng.choice("i1і")), label))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    lexicon = toxicity.fit(frame)
+    texts = {i: toxicity.folded(t) for i, t, _ in rows}
+    labels = {i: y for i, _, y in rows}
+    holders = {}
+    for i, t in texts.items():
+        for w in re.findall(r"[^\W\d_]+", t):
+            for n in range(3, min(12, len(w)) + 1):
+                holders.setdefault(w[:n], set()).add(i)
+    toxic = sum(labels.values())
+    clean = len(rows) - toxic
+    least = max(3, min(8, toxic // 40 + 2))
+    odds = {}
+    for t, own in holders.items():
+        b = sum(labels[i] for i in own)
+        w = np.log((b + 0.5) / (toxic + 1)) - np.log((len(own) - b + 0.5) / (clean + 1))
+        if b >= least and w >= 3.0:
+            odds[t] = (min(w, 8.0), b)
+    want, todo = {}, sorted(odds, key=lambda t: (len(t), t))
+    for t in todo:
+        if not any(t.startswith(x) and x != t for x in want):
+            while on := sorted(x for x in odds if len(x) == len(t) + 1 and x.startswith(t) and odds[x][1] >= 0.9 * odds[t][1]):
+                t = on[0]
+            want[t] = odds[t][0]
+    assert lexicon.weights.keys() == want.keys() and all(abs(lexicon.weights[t] - w) < 1e-9 for t, w in want.items())
+    assert {"idiot", "scum", "vile"} == set(want)
+
+    def strength(t):
+        spared = [(m.start(), m.end()) for e in toxicity.EXCEPTIONS for m in re.finditer(rf"(?<![^\W\d_]){re.escape(e)}(?![^\W\d_])", t)]
+        total = 0.0
+        for m in re.finditer(r"[^\W\d_]+", t):
+            own = [x for x in want if m[0].startswith(x)]
+            if own and not any(a <= m.start() < b for a, b in spared):
+                total += want[max(own, key=len)]
+        return total / (len(t) / 6 + 20) ** 0.5
+
+    for r in toxicity.score(frame, lexicon).collect():
+        s = strength(texts[r["doc_id"]])
+        assert abs(r["toxic_score"] - 1 / (1 + np.exp(-(lexicon.bias + lexicon.slope * s)))) < 1e-9
+        assert r["toxic_flag"] == (r["toxic_score"] >= 0.3)
+
+
+def test_sample_of_copies(spark):
+    """60,000 copies of one text, a third of them toxic: the sample holds as many rows as it may, of both labels."""
+    rows = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("scum and all that").alias("text"), (F.col("id") % 3 == 0).cast("int").alias("label"))
+    keys = rows.select(F.col("doc_id").cast("string").alias("id_"), F.xxhash64("text").alias("tie_"), "label")
+    drawn = toxicity._drawn(keys.union(keys), 500)
+    assert drawn.count() == 500 and 100 < drawn.where("label = 1").count() < 240
+    lexicon = toxicity.fit(rows, most_rows=500)
+    assert toxicity.score(docs(spark, [(1, "x")]), lexicon).count() == 1
+
+
+def test_terms_that_reach_the_driver_are_bounded(spark):
+    rows = [(i, f"idiot scum t{chr(97 + i % 7)}x plain{i}" if i % 2 else "plain", i % 2) for i in range(120)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    assert len(toxicity.fit(frame, most_terms=6).weights) <= 6
+    assert "scum" in toxicity.fit(frame, most_terms=6).weights
+
+
+def test_columns_of_the_same_name_are_replaced(spark):
+    frame = docs(spark).withColumns({"toxic_score": F.lit("old"), "toxic_flag": F.lit("old"), "license_words": F.lit("old"), "license_spans": F.lit("old"), "sequence_id": F.lit("old"), "offset": F.lit("old")})
+    scored = toxicity.score(frame, toxicity.Lexicon())
+    assert dict(scored.dtypes)["toxic_score"] == "double" and scored.columns.count("toxic_score") == 1 and scored.count() == len(TEXTS)
+    scanned = license_scan.scan(frame)
+    assert scanned.columns.count("license_words") == 1 and license_scan.summary(scanned).count() == len(TEXTS)
+    pieces = packing.encode_pieces(frame, Q.tokenizer_path(Q.WORD_TOKENIZER)).drop("ids").withColumns({"sequence_id": F.lit("old"), "offset": F.lit("old"), "salt_": F.lit("kept"), "rank_": F.lit("kept")})
+    placed = packing.pack(pieces)
+    assert placed.columns.count("offset") == 1 and placed.where("salt_ = 'kept' and rank_ = 'kept' and offset >= 0").count() == len(TEXTS) + placed.where("piece > 0").count()
+
+
 # --- 5
 
 

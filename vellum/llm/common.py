@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import string
 import tempfile
 import uuid
@@ -17,9 +18,11 @@ _made: "weakref.WeakKeyDictionary[SparkSession, list[str]]" = weakref.WeakKeyDic
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, a temporary one in local mode; on a cluster an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="vellum-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -39,13 +42,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clean_up(spark: SparkSession) -> None:
-    """Deletes the scratch tables of this session; results that still read them must be written before."""
+def clean_up(spark: SparkSession, *, since: int = 0) -> None:
+    """Deletes the scratch tables that this session has made, but for the first ``since``; results that still read them must be written before."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _made.pop(spark, []):
+    paths = _made.get(spark, [])
+    for path in paths[since:]:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
+    del paths[since:]
+
+
+def scratch_tables(spark: SparkSession) -> int:
+    """How many there are: what clean_up() takes as since, to delete only what comes after."""
+    return len(_made.get(spark, []))
 
 
 def bucket_count(spark: SparkSession, per_partition: int = 4) -> int:

@@ -5,7 +5,8 @@ words of any kind. It's compiled into an automaton over words, which accepts a s
 wording matches exactly. Automata are started where a word stands that some template can begin with.
 
 Defined cases: null and empty texts have no words and no places; repeated rows are scanned each; an empty table gives
-an empty result; further columns are kept as they are.
+an empty result; further columns are kept as they are, but for ones named license_words or license_spans, which are
+replaced.
 """
 
 from __future__ import annotations
@@ -126,6 +127,7 @@ def split_words(text: bytes) -> list[bytes]:
 
 def scan(docs: DataFrame, *, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, text_col: str = "text") -> DataFrame:
     """docs with license_words (how many words) and license_spans: label, base (a phrase, not a template), first and end word."""
+    docs = docs.drop(*{"license_words", "license_spans"} - {text_col})
     names = docs.columns
     at = names.index(text_col)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

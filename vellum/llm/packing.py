@@ -8,7 +8,9 @@ are one group with a count. Pieces then get their places from their rank among t
 counted in salted groups, so that a length that a third of all pieces have is split as well.
 
 Defined cases: null and empty texts are one piece that holds the end id alone; repeated rows are pieces of their own;
-an empty table gives an empty result; further columns of the input are not looked at.
+an empty table gives an empty result; further columns of pieces are kept, but for ones named sequence_id or offset,
+which are replaced, and ones whose names begin with vellum_, which are dropped; further columns of documents are not
+looked at.
 """
 
 from __future__ import annotations
@@ -123,19 +125,20 @@ def pack(pieces: DataFrame, *, capacity: int = 2048) -> DataFrame:
     """pieces with doc_id, piece, start, length and any more columns, and sequence_id, offset for each of them."""
     spark = pieces.sparkSession
     n = bucket_count(spark)
-    salted = pieces.withColumn("salt_", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(n)).cast("int"))
-    counts = written(salted.groupBy("length", "salt_").agg(F.count(F.lit(1)).alias("many_")), "lengths")
-    histogram = {r["length"]: r["many"] for r in counts.groupBy("length").agg(F.sum("many_").alias("many")).collect()}  # capacity rows at most
+    pieces = pieces.drop("sequence_id", "offset", *[c for c in pieces.columns if c.startswith("vellum_")])
+    salted = pieces.withColumn("vellum_salt_", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(n)).cast("int"))
+    counts = written(salted.groupBy("length", "vellum_salt_").agg(F.count(F.lit(1)).alias("vellum_many_")), "lengths")
+    histogram = {r["length"]: r["many"] for r in counts.groupBy("length").agg(F.sum("vellum_many_").alias("many")).collect()}  # capacity rows at most
     slots = _slots(plan_bins(histogram, capacity), capacity)
-    ahead = counts.withColumn("ahead_", F.sum("many_").over(Window.partitionBy("length").orderBy("salt_")) - F.col("many_")).drop("many_")
+    ahead = counts.withColumn("vellum_ahead_", F.sum("vellum_many_").over(Window.partitionBy("length").orderBy("vellum_salt_")) - F.col("vellum_many_")).drop("vellum_many_")
     order = ["doc_id", "piece", *[c for c in pieces.columns if c not in ("doc_id", "piece", "length")]]
-    ranked = salted.withColumn("rank_", F.row_number().over(Window.partitionBy("length", "salt_").orderBy(*order)) - 1).join(ahead, ["length", "salt_"])
-    ranked = ranked.select(*pieces.columns, (F.col("rank_") + F.col("ahead_")).alias("rank_"))
+    ranked = salted.withColumn("vellum_rank_", F.row_number().over(Window.partitionBy("length", "vellum_salt_").orderBy(*order)) - 1).join(ahead, ["length", "vellum_salt_"])
+    ranked = ranked.select(*pieces.columns, (F.col("vellum_rank_") + F.col("vellum_ahead_")).alias("vellum_rank_"))
     keys = np.array([], dtype="i8") if not len(slots["length"]) else slots["length"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, rank = batch.column("length").to_numpy().astype("i8"), batch.column("rank_").to_numpy()
+            length, rank = batch.column("length").to_numpy().astype("i8"), batch.column("vellum_rank_").to_numpy()
             at = np.empty(len(rank), dtype="i8")
             lo, hi = np.searchsorted(keys, length, "left"), np.searchsorted(keys, length, "right")
             for v in np.unique(length):
@@ -146,8 +149,8 @@ def pack(pieces: DataFrame, *, capacity: int = 2048) -> DataFrame:
             times = slots["times"][at]
             sequence = slots["sequence"][at] + turn // times
             offset = slots["offset"][at] + turn % times * length
-            kept = [batch.column(c) for c in batch.schema.names if c != "rank_"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], [*[c for c in batch.schema.names if c != "rank_"], "sequence_id", "offset"])
+            kept = [batch.column(c) for c in batch.schema.names if c != "vellum_rank_"]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], [*[c for c in batch.schema.names if c != "vellum_rank_"], "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
     return ranked.mapInArrow(place, schema)

@@ -5,9 +5,15 @@ them. Texts are folded first (case, homoglyphs, digits that stand for letters),
 automaton; matches must begin a word, and matches inside an exception phrase don't count. The weights found, normalised
 by the text's length, go through a logistic curve fitted on the same rows.
 
+Scale: the lexicon is fitted on at most ``most_rows`` labelled rows, drawn by a hash of id and text, so the copies of a
+text are thinned like all others. The draw is made on ids and hashes; only the drawn rows' texts are moved, by a
+broadcast of their keys, which ``most_rows`` bounds. Terms are counted on the executors; at most ``most_terms`` come to
+the driver, the ones that most toxic rows hold.
+
 Defined cases: null and empty texts score as texts without matches; labels that are null, or neither 0 nor 1, teach
 nothing; without rows of both labels nothing matches and every score is the share of toxic rows (0 without any);
-repeated rows are scored, and counted, each; an empty table gives an empty result; further columns are not looked at.
+repeated rows are scored each, and teach once if id, text and label are the same; an empty table gives an empty result;
+further columns are kept, but for those with the names of the score and the flag, which are replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
 from .textkit import text_column
 
 #: Letters of other scripts, and digits and signs, that are written for Latin letters.
@@ -119,33 +126,62 @@ def choose(terms: dict[str, tuple[int, int]], *, least: int, odds: float) -> dic
     least = max(least, min(8, toxic // 40 + 2))
     weight = {t: np.log((b + 0.5) / (toxic + 1)) - np.log((a + 0.5) / (clean + 1)) for t, (a, b) in terms.items() if t and b >= least}
     weight = {t: min(float(w), 8.0) for t, w in weight.items() if w >= odds}
+    longer: dict[str, list[str]] = {}
+    for t in weight:
+        longer.setdefault(t[:-1], []).append(t)
     out: dict[str, float] = {}
     for t in sorted(weight, key=lambda t: (len(t), t)):
         if any(t[:n] in out for n in range(1, len(t))):
             continue
-        while longer := [x for x in weight if len(x) == len(t) + 1 and x.startswith(t) and terms[x][1] >= 0.9 * terms[t][1]]:
-            t = longer[0]
+        while on := [x for x in longer.get(t, ()) if terms[x][1] >= 0.9 * terms[t][1]]:
+            t = min(on)
         out[t] = weight[t]
     return out
 
 
-def fit(rows: DataFrame, *, most_rows: int = 20_000, least: int = 3, odds: float = 3.0, shortest: int = 3, longest: int = 12, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """A lexicon from rows of text and label (0 or 1).
+def _drawn(keys: DataFrame, most_rows: int) -> DataFrame:
+    """id_, tie_ (a hash of the text), label of at most most_rows different rows: those with the smallest hashes of id and text."""
+    keys = written(keys.distinct().withColumn("draw_", F.xxhash64("id_", "tie_", "label")), "keys")
+    if keys.count() > most_rows:
+        last = keys.select("draw_").orderBy("draw_").limit(most_rows).agg(F.max("draw_")).first()[0]
+        keys = keys.where(F.col("draw_") <= last)
+    return keys.drop("draw_")
+
+
+def _texts_of(drawn: DataFrame, texts: DataFrame) -> DataFrame:
+    """label, text of the drawn rows; drawn has most_rows rows at most, so it's broadcast whatever the texts are."""
+    same = F.col("id_").eqNullSafe(F.col("of_")) & (F.col("tie_") == F.col("hash_"))
+    own = texts.select(F.col("id_").alias("of_"), F.xxhash64("text").alias("hash_"), "text").join(F.broadcast(drawn), same)
+    return written(own.groupBy("id_", "tie_", "label").agg(F.first("text").alias("text")).select("label", "text"), "sample")
+
+
+def fit(rows: DataFrame, *, id_col: str = "doc_id", most_rows: int = 20_000, **options) -> Lexicon:
+    """A lexicon from rows of text and label (0 or 1), and of an id if there is one; see learn() for the options."""
+    own = rows.select((F.col(id_col) if id_col in rows.columns else F.lit(0)).cast("string").alias("id_"), F.col("text").cast("string").alias("text"), F.col("label").cast("int").alias("label"))
+    own = own.where(F.col("label").isin(0, 1))
+    return learn(_texts_of(_drawn(own.select("id_", F.xxhash64("text").alias("tie_"), "label"), most_rows), own.drop("label")), **options)
 
-    It's fitted on at most ``most_rows`` rows, those with the smallest hashes; document counts are summed on the
-    executors, and only beginnings with enough toxic documents and high odds come to the driver.
+
+def learn(rows: DataFrame, *, least: int = 3, odds: float = 3.0, shortest: int = 3, longest: int = 12, most_terms: int = 50_000, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+    """A lexicon from all rows of text and label (0 or 1).
+
+    Beginnings of words have from shortest to longest letters. Those come to the driver that least toxic rows hold and
+    whose log odds may reach odds; if they are more than most_terms, so many more toxic rows have to hold them that
+    they aren't.
     """
     spark = rows.sparkSession
-    rows = rows.where(F.col("label").isin(0, 1)).select(F.col("label").cast("int").alias("label"), F.col("text").cast("string").alias("text"))
-    n = rows.count()
-    if n > most_rows:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * most_rows / n))
     counted = rows.mapInArrow(_counts(shortest, longest), "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    totals = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    ratio = float(np.exp(odds)) * (totals.get(1, 0) + 1) / (totals.get(0, 0) + 1) * (1 - 1e-9)
-    kept = counted.where((F.col("term") == "") | ((F.col("toxic") >= least) & (F.col("toxic") + 0.5 >= ratio * (F.col("clean") + 0.5))))  # the rest can't have such odds
-    terms = {r["term"]: (r["clean"], r["toxic"]) for r in kept.orderBy(F.col("term") != "", F.desc(F.col("toxic") / (F.col("clean") + 1)), "term").limit(50_000).collect()}
-    clean, toxic = terms.get("", (0, 0))
+    counted = written(counted, "terms")
+    clean, toxic = next(((r["clean"], r["toxic"]) for r in counted.where("term = ''").collect()), (0, 0))
+    ratio = float(np.exp(odds)) * (toxic + 1) / (clean + 1) * (1 - 1e-9)
+    kept = counted.where((F.col("term") != "") & (F.col("toxic") >= least) & (F.col("toxic") + 0.5 >= ratio * (F.col("clean") + 0.5)))  # the rest can't have such odds
+    so_far = 0
+    for held_by, many in sorted(map(tuple, kept.groupBy("toxic").count().collect()), reverse=True):  # at most as many numbers as toxic rows
+        so_far += many
+        if so_far > most_terms:
+            least = held_by + 1
+            break
+    terms = {r["term"]: (r["clean"], r["toxic"]) for r in kept.where(F.col("toxic") >= least).collect()} | {"": (clean, toxic)}
     lexicon = Lexicon(choose(terms, least=least, odds=odds) if clean and toxic else {}, exceptions)
     share = toxic / (clean + toxic) if clean + toxic else 0.0
     if not lexicon.weights:
@@ -183,6 +219,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
 def score(docs: DataFrame, lexicon: Lexicon, *, threshold: float = 0.3, text_col: str = "text", score_col: str = "toxic_score", flag_col: str = "toxic_flag") -> DataFrame:
     """docs with a score from 0 to 1 and 1 where it's the threshold or more, else 0."""
     held = docs.sparkSession.sparkContext.broadcast(lexicon)
+    docs = docs.drop(*{score_col, flag_col} - {text_col})
     names = docs.columns
     at = names.index(text_col)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
@@ -204,8 +241,9 @@ def held_out(c):
     return F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(4)) == 2
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, **options) -> Lexicon:
+def fit_on(docs: DataFrame, labels: DataFrame, *, most_rows: int = 20_000, **options) -> Lexicon:
     """A lexicon from the documents that labels (doc_id, toxic) covers, without the held-out fold."""
-    own = labels.select(F.col("doc_id").alias("doc_id"), F.col("toxic").alias("label")).where(~held_out(F.col("doc_id")))
-    rows = docs.select("doc_id", "text").join(own, "doc_id")
-    return fit(rows, **options)
+    own = labels.select(F.col("doc_id").cast("string").alias("id_"), F.col("toxic").cast("int").alias("label")).where(~held_out(F.col("id_")) & F.col("label").isin(0, 1))
+    texts = docs.select(F.col("doc_id").cast("string").alias("id_"), F.col("text").cast("string").alias("text"))
+    keys = texts.select("id_", F.xxhash64("text").alias("tie_")).join(own, "id_")
+    return learn(_texts_of(_drawn(keys.select("id_", "tie_", "label"), most_rows), texts), **options)
