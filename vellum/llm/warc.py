@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import written
+
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _EMPTY = gzip.compress(b"", mtime=0)
 _HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n]+\r\n)+)\r\n")
@@ -246,6 +248,7 @@ def resolved(records: DataFrame) -> DataFrame:
     own = records.where("kind = 'record'").select(
         "page_id", F.octet_length("payload").cast("long").alias("bytes"), F.when(F.col("type") == "response", base32(F.sha1("payload"))).otherwise(F.col("digest")).alias("payload_digest"), F.col("type").alias("record_type"), "refers_to",
     )
+    own = written(own, "records")  # archives are read and parsed once
     revisits, responses = own.where("record_type = 'revisit'"), own.where("record_type <> 'revisit'")
     sizes = responses.groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("bytes").alias("payload_bytes"))
     revisits = revisits.drop("bytes").join(sizes, ["refers_to", "payload_digest"], "left")
