@@ -20,6 +20,11 @@ from pyspark.sql import functions as F
 from .common import WORD, bucket_count, written
 
 
+def size_of(text: Column) -> Column:
+    """Words between ASCII white space; of null 0."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def source_targets(sizes: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2) -> DataFrame:
     """(skey, source_size) to (skey, source_size, target).
 
@@ -65,7 +70,7 @@ def mix(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
             F.coalesce(F.concat(F.lit("0"), F.col(source_col)), F.lit("1")).alias("skey"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            size_of(F.col(text_col)).alias("size"),
             F.conv(key, 16, 10).cast("long").alias("key"),
         ),
         "sized",
