@@ -69,10 +69,6 @@ def test_morphology_and_sizes():
     assert kernels.rotated(np.arange(6).reshape(2, 3), 0).tolist() == [[0, 1, 2], [3, 4, 5]]
     assert kernels.rotated(np.ones((4, 4), int), 45).shape == (6, 6)
     assert (kernels.unsharp(np.full((3, 3), 9)) == 9).all()
-    text, link = np.zeros((8, 8)), np.zeros((8, 8))
-    text[2:5, 2:6] = 0.9
-    assert kernels.heat_boxes(text, link) == [(1, 1, 7, 6)] or len(kernels.heat_boxes(text, link)) == 1
-    assert kernels.heat_boxes(np.zeros((4, 4)), np.zeros((4, 4))) == []
 
 
 def test_otsu(spark):

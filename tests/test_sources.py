@@ -45,9 +45,8 @@ def test_images_and_listing(spark, tmp_path):
 def test_polygons_round_trip(spark, tmp_path):
     df = spark.createDataFrame([([1.9, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0],)], "poly array<double>")
     files.write_polygons(df, f"{tmp_path}/out")
-    part = next(f for f in os.listdir(f"{tmp_path}/out") if f.endswith(".txt"))
-    with open(f"{tmp_path}/out/{part}", "rb") as f:
-        data = f.read()
+    parts = sorted(f for f in os.listdir(f"{tmp_path}/out") if f.endswith(".txt"))
+    data = b"".join(open(f"{tmp_path}/out/{part}", "rb").read() for part in parts)  # noqa: SIM115
     assert data == b"1,2,3,4,5,6,7,8\r\n"
     put(f"{tmp_path}/res/res_12.txt", data + b"\r\n1,2\r\n")
     assert [(r["page_no"], r["poly"]) for r in files.polygons(spark, f"{tmp_path}/res").collect()] == [(12, [1, 2, 3, 4, 5, 6, 7, 8])]

@@ -89,14 +89,15 @@ def suppressed(boxes: Column, share: float = 0.9, kind: str = "struct<x1:bigint,
     return _fold(boxes, F.array().cast(f"array<{kind}>"), step)
 
 
-def merged_lines(boxes: Column, tolerance: float = 15, kind: str = "struct<x1:bigint,y1:bigint,x2:bigint,y2:bigint>") -> Column:
-    """Boxes in order of their middles merged into lines: a box joins the current line if its middle is within the tolerance of the line's."""
+def merged_lines(boxes: Column, tolerance: float | Callable[[Column], Column] = 15, kind: str = "struct<x1:bigint,y1:bigint,x2:bigint,y2:bigint>") -> Column:
+    """Boxes in order of their middles merged into lines: a box joins the current line if its middle is within the tolerance of the line's; the tolerance may be a function of the box's middle."""
+    allowed = tolerance if callable(tolerance) else lambda _: F.lit(tolerance)
     middle = lambda b: (b["y1"] + b["y2"]) / 2
     start = F.array().cast(f"array<{kind}>")
 
     def step(lines: Column, b: Column) -> Column:
         last = F.try_element_at(lines, F.lit(-1))
-        joins = F.coalesce(F.abs(middle(b) - middle(last)) <= tolerance, F.lit(False))
+        joins = F.coalesce(F.abs(middle(b) - middle(last)) <= allowed(middle(b)), F.lit(False))
         union = box(F.least(last["x1"], b["x1"]), F.least(last["y1"], b["y1"]), F.greatest(last["x2"], b["x2"]), F.greatest(last["y2"], b["y2"]))
         return F.when(joins, F.concat(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))), F.array(union))).otherwise(F.concat(lines, F.array(b)))
 
@@ -107,3 +108,9 @@ def canvas_after_rotation(w: Column, h: Column, degrees: Column) -> tuple[Column
     """Width and height that hold an image rotated about its centre."""
     s, c = F.abs(F.sin(F.radians(degrees))), F.abs(F.cos(F.radians(degrees)))
     return F.floor(h * s + w * c + 0.5).cast("int"), F.floor(h * c + w * s + 0.5).cast("int")
+
+
+def warped(x: Column, y: Column, m: list[list[float]]) -> tuple[Column, Column]:
+    """A point through a 3 by 3 projective map."""
+    rows = [F.lit(float(a)) * x + F.lit(float(b)) * y + F.lit(float(c)) for a, b, c in m]
+    return rows[0] / rows[2], rows[1] / rows[2]

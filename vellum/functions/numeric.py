@@ -45,6 +45,35 @@ def rank_margin(positive: Column, negative: Column, beta: float = 0.1) -> Column
     return F.greatest(F.lit(0.0), F.lit(beta) - positive + negative)
 
 
+def similarity_margin(log_p: Column, similarity: Column, label: Column, wrong: Column, beta: float = 0.1) -> Column:
+    """How far a wrong token comes up to the right one, beyond beta times the difference of their similarities; never below 0."""
+    at = lambda a, i: F.get(a, i)
+    return F.greatest(F.lit(0.0), F.lit(beta) * (at(similarity, label) - at(similarity, wrong)) - at(log_p, label) + at(log_p, wrong))
+
+
+def token_similarity(probabilities: Column, embeddings: Column) -> Column:
+    """For each token: its embedding's product with the expected embedding, and the probability of token 0, halved."""
+    weighted = F.zip_with(embeddings, probabilities, lambda e, p: F.transform(e, lambda x: x * p))
+    expected = F.aggregate(F.slice(weighted, 2, F.size(weighted)), F.get(weighted, F.lit(0)), lambda s, e: F.zip_with(s, e, lambda x, y: x + y))
+    # bound by a lambda, or the expected embedding would be made anew for each token
+    return F.flatten(F.transform(F.array(expected), lambda x: F.transform(embeddings, lambda e: (dot(e, x) + F.get(probabilities, F.lit(0))) / 2)))
+
+
+def clamped_label(label: Column, classes: Column) -> Column:
+    return F.least(F.greatest(label, F.lit(0)), classes - 1)
+
+
+def combined_loss(rank: Column, margin: Column, kl: Column, focal_loss: Column, weight: float = 0.01) -> Column:
+    """Ranking and margin, and a little of the divergence and the focal loss."""
+    return rank + margin + F.lit(weight) * (kl + focal_loss)
+
+
+def contrast(a: Column, b: Column, temperature: float = 0.2) -> Column:
+    """The mean over the vectors of a of the cross entropy of their cosines with b's vectors, their own partner being the label."""
+    each = F.transform(a, lambda x, i: cross_entropy(F.transform(b, lambda y: cosine(x, y) / F.lit(temperature)), i))
+    return total(each) / F.size(a)
+
+
 def smoothed(logits: Column, label: Column, eps: float = 0.1) -> Column:
     """Cross entropy against 1 - eps on the label and eps shared by the others."""
     n, rest = F.size(logits), log_sum_exp(logits)

@@ -36,6 +36,11 @@ def characters(c: Column) -> Column:
     return F.filter(F.split(c, ""), lambda x: x != "")
 
 
+def count_of(c: Column, mark: str) -> Column:
+    """How often a character stands in a text."""
+    return F.length(c) - F.length(F.replace(c, F.lit(mark), F.lit("")))
+
+
 def character_counts(df: DataFrame, text: str) -> DataFrame:
     """ch, n (all places), docs (texts that hold it): counted by task, so a few rows for each task are shuffled."""
 

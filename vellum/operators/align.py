@@ -93,3 +93,20 @@ def last_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 def renumbered(df: DataFrame, order: list[str], base: int, out: str = "index") -> DataFrame:
     """A running number from base over all rows."""
     return numbered(df, order).withColumn(out, F.col("i_") + base).drop("i_", "all_")
+
+
+def crop_names(words: DataFrame, page: str, line: str, order: list[str], first: int = 0) -> DataFrame:
+    """words with number, running over all pages in order, and file: number and line, by which a word is found again."""
+    own = numbered(words, [page, line, *order]).withColumn("number", F.col("i_") + first).drop("i_", "all_")
+    return own.withColumn("file", F.concat("number", F.lit(";"), line, F.lit(".png")))
+
+
+def in_both(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+    """Rows whose key the other side has as well."""
+    return left.join(right.select(*key).distinct(), key, "left_semi")
+
+
+def chunked(rows: DataFrame, order: list[str], size: int, part: int = 1, of: int = 1) -> DataFrame:
+    """The first part / of rows, each with the chunk of ``size`` rows it's in."""
+    own = numbered(rows, order)
+    return own.where(F.col("i_") < F.floor(F.col("all_") * part / of)).withColumn("chunk", F.floor(F.col("i_") / size)).drop("i_", "all_")

@@ -31,25 +31,52 @@ def _arrow(kind: str) -> pa.DataType:
     return {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "array<int>": pa.list_(pa.int32())}[kind]
 
 
+def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, begin and end of each horizontal run, in order of rows."""
+    edges = np.diff(np.pad(mask.astype("i1"), ((0, 0), (1, 1))), axis=1)
+    (row, begin), (_, end) = np.nonzero(edges == 1), np.nonzero(edges == -1)
+    return row, begin, end
+
+
+def _run_components(row: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int, neighbours: int) -> np.ndarray:
+    """The component of each run, numbered from 1 by their first runs: runs that touch in the next row are united."""
+    reach, step = int(neighbours == 8), width + 2
+    # runs of a row are ascending, so those that touch a run are a stretch of the next row's
+    first = np.searchsorted(row * step + end, (row + 1) * step + begin - reach, "right")
+    last = np.searchsorted(row * step + begin, (row + 1) * step + end + reach, "left")
+    up = list(range(len(row)))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for i in np.flatnonzero(last > first).tolist():
+        for j in range(int(first[i]), int(last[i])):
+            a, b = root(i), root(j)
+            up[max(a, b)] = min(a, b)
+    return np.unique([root(x) for x in range(len(up))], return_inverse=True)[1] + 1 if up else np.zeros(0, dtype=int)
+
+
 def labelled(mask: np.ndarray, neighbours: int = 8) -> np.ndarray:
     """Components of a mask, numbered from 1 in order of their first pixels; 0 is background."""
-    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    steps = [(0, 1), (1, 0), (1, 1), (1, -1)][: 2 if neighbours == 4 else 4]
-    while True:
-        old = label.copy()
-        for dy, dx in steps:
-            a = label[: label.shape[0] - dy, max(0, -dx) : label.shape[1] - max(0, dx)]
-            b = label[dy:, max(0, dx) : label.shape[1] + min(0, dx)]
-            both = (a > 0) & (b > 0)
-            low = np.minimum(a, b)
-            # the two views share pixels, so what was lowered stays lowered
-            a[both] = np.minimum(a[both], low[both])
-            b[both] = np.minimum(b[both], low[both])
-        if (old == label).all():
-            break
-    _, dense = np.unique(np.append(0, label[label > 0]), return_inverse=True)
-    out = np.zeros_like(label)
-    out[label > 0] = dense[1:]
+    row, begin, end = _runs(mask)
+    label = _run_components(row, begin, end, mask.shape[1], neighbours)
+    steps = np.zeros((mask.shape[0], mask.shape[1] + 1), dtype="i8")
+    np.add.at(steps, (row, begin), label)
+    np.add.at(steps, (row, end), -label)
+    return steps.cumsum(1)[:, :-1]
+
+
+def measured(px: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
+    """Of each component, from 1: area, x1, y1, x2, y2 (both ends included), sum and max of the pixels; one pass over the pixels."""
+    y, x = np.nonzero(label)
+    own, n = label[y, x] - 1, int(label.max(initial=0))
+    top = max(label.shape)
+    out = {"area": np.bincount(own, minlength=n), "sum": np.bincount(own, px[y, x], n)}
+    for name, f, values, start in (("x1", np.minimum, x, top), ("y1", np.minimum, y, top), ("x2", np.maximum, x, -1), ("y2", np.maximum, y, -1), ("max", np.maximum, px[y, x], -np.inf)):
+        out[name] = np.full(n, start, dtype=float if name == "max" else int)
+        f.at(out[name], own, values)
     return out
 
 
@@ -57,12 +84,8 @@ def components(rasters: DataFrame, key: str, width: int, *, threshold: int = 128
     """Of the pixels darker than the threshold: label, area, x1, y1, x2, y2, mean."""
 
     def one(px: np.ndarray) -> list[tuple]:
-        label = labelled(px < threshold, neighbours)
-        rows = []
-        for n in range(1, label.max() + 1):
-            y, x = np.nonzero(label == n)
-            rows.append((n, len(x), int(x.min()), int(y.min()), int(x.max()), int(y.max()), float(px[y, x].mean())))
-        return rows
+        m = measured(px, labelled(px < threshold, neighbours))
+        return [(i + 1, *[int(m[c][i]) for c in ("area", "x1", "y1", "x2", "y2")], float(m["sum"][i] / m["area"][i])) for i in range(len(m["area"]))]
 
     return _each(rasters, key, width, "label int, area int, x1 int, y1 int, x2 int, y2 int, mean double", one)
 
@@ -98,11 +121,9 @@ def clean(px: np.ndarray, *, block: int = 5, offset: float = 25, least_area: int
     """Ink on white: locally dark pixels, opened and closed; components that are small or pale go; white border."""
     ink = closed(opened(darker_than_around(px, block, offset), 1), 2)
     label = labelled(ink > 0)
-    for n in range(1, label.max() + 1):
-        own = label == n
-        if own.sum() < least_area or px[own].mean() > most_mean:
-            ink[own] = 0
-    out = 255 - ink
+    m = measured(px, label)
+    goes = (m["area"] < least_area) | (m["sum"] > most_mean * m["area"])
+    out = 255 - np.where(np.append(False, goes)[label], 0, ink)
     out[:border] = out[-border:] = out[:, :border] = out[:, -border:] = 255
     return out
 
@@ -223,24 +244,6 @@ def unsharp(px: np.ndarray, amount: float = 1.5) -> np.ndarray:
     return np.clip(np.rint(amount * px - (amount - 1) * blur), 0, 255).astype(int)
 
 
-def heat_boxes(text: np.ndarray, link: np.ndarray, *, text_least: float = 0.4, link_least: float = 0.4, peak_least: float = 0.7, least_area: int = 10) -> list[tuple[int, int, int, int]]:
-    """Boxes of a detector's score maps: 4-connected components of either map, without small ones and those without a peak, grown by their size."""
-    h, w = text.shape
-    label = labelled((text >= text_least) | (link >= link_least), 4)
-    out = []
-    for n in range(1, label.max() + 1):
-        own = label == n
-        if own.sum() < least_area or text[own].max() < peak_least:
-            continue
-        y, x = np.nonzero(own & ~((link >= link_least) & (text < text_least)))
-        if not len(x):
-            continue
-        bw, bh = int(x.max() - x.min() + 1), int(y.max() - y.min() + 1)
-        grow = int(np.sqrt(own.sum() * min(bw, bh) / (bw * bh)) * 2)
-        out.append((max(0, int(x.min()) - grow), max(0, int(y.min()) - grow), min(w, int(x.max()) + grow + 1), min(h, int(y.max()) + grow + 1)))
-    return out
-
-
 def ctc_cost(log_p: np.ndarray, label: list[int], blank: int) -> float:
     """Minus the log probability of a label, over all alignments: the forward pass in log space."""
     s = [blank, *[x for c in label for x in (c, blank)]]

@@ -62,6 +62,29 @@ def merged_lines(boxes: DataFrame, page: str = "page_id", tolerance: float = 15,
     return rows.select(page, "line", F.greatest(F.col("q_.x1") - F.col("p_"), F.lit(0)).alias("x1"), "q_.y1", (F.col("q_.x2") + F.col("p_")).alias("x2"), "q_.y2")
 
 
+def full_width_lines(boxes: DataFrame, page: str = "page_id", *, width: int = 500, height: int = 1200, upper: float = 15, lower: float = 10) -> DataFrame:
+    """Boxes merged into lines with a tolerance for the upper half of the page and one for the lower; lines span the page, but a page's only box stays as it is."""
+    own = boxes.groupBy(page).agg(F.array_sort(F.collect_list(F.struct((F.col("y1") + F.col("y2")).alias("m"), "ord", *[F.col(c).cast("long").alias(c) for c in _BOX]))).alias("b_"))
+    plain = F.transform("b_", lambda b: F.struct(*[b[c].alias(c) for c in _BOX]))
+    tolerance = lambda y: F.when(y < height / 2, F.lit(upper)).otherwise(F.lit(lower))
+    rows = own.select(page, (F.size("b_") > 1).alias("many_"), F.posexplode(G.merged_lines(plain, tolerance)).alias("line", "q_"))
+    return rows.select(page, "line", F.when(F.col("many_"), 0).otherwise(F.col("q_.x1")).alias("x1"), "q_.y1", F.when(F.col("many_"), width - 1).otherwise(F.col("q_.x2")).alias("x2"), "q_.y2")
+
+
+def scaled_regions(boxes: DataFrame, *, side: int = 512, pad: int = 10) -> DataFrame:
+    """Boxes found on a square of ``side`` pixels, back in their image (columns width, height): scaled, cut to whole pixels, padded, clamped."""
+    at = lambda c, size: (F.col(c) * F.col(size) / side).cast("int")
+    keep = [c for c in boxes.columns if c not in _BOX]
+    return boxes.select(
+        *keep, F.greatest(at("x1", "width") - pad, F.lit(0)).alias("x1"), F.greatest(at("y1", "height") - pad, F.lit(0)).alias("y1"), F.least(at("x2", "width") + pad, F.col("width")).alias("x2"), F.least(at("y2", "height") + pad, F.col("height")).alias("y2"),
+    )
+
+
+def of_level(boxes: DataFrame, level: int = 5) -> DataFrame:
+    """Boxes of an OCR engine's level: 5 is words."""
+    return boxes.where(F.col("level") == level)
+
+
 def union_boxes(boxes: DataFrame, page: str = "page_id", pad: int = 10, width: int = 1 << 30, height: int = 1 << 30) -> DataFrame:
     """The box around a page's boxes, padded, within the page."""
     u = boxes.groupBy(page).agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))

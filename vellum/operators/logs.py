@@ -53,3 +53,8 @@ def on_plateau(log: DataFrame, run: str, order: list[str], value: str, base: flo
 def schedule_steps(samples, epochs, batch, accumulate):
     """Optimiser steps of a training."""
     return F.floor(samples * epochs / (batch * accumulate))
+
+
+def padded_size(n, batch):
+    """Samples of a dataset that is handed out in whole batches."""
+    return F.ceil(n / batch) * batch

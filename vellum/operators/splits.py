@@ -48,3 +48,44 @@ def one_of(key, epoch: int, choices: int, share: float = 1.0):
     """A transform for each row and epoch, from 0, or -1 for none: by hash, so reruns agree."""
     h = F.xxhash64(key, F.lit(epoch))
     return F.when(F.pmod(F.shiftrightunsigned(h, 16), F.lit(1000)) < int(share * 1000), F.pmod(h, F.lit(choices))).otherwise(F.lit(-1).cast("long"))
+
+
+def drawn(df: DataFrame, key: list[str], n: int, seed: int) -> DataFrame:
+    """n rows by lot, the same ones each time: those with the smallest digests of key and seed."""
+    lot = F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in key], F.lit(str(seed))).cast("binary"))
+    return df.withColumn("lot_", lot).orderBy("lot_", *key).limit(n).drop("lot_")
+
+
+def variants(df: DataFrame, stem: str, names: list[str]) -> DataFrame:
+    """Each row as it is and once for each transform: variant, from 0 for the original, and file."""
+    rows = df.withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(len(names)))))
+    label = F.element_at(F.array(*[F.lit(x) for x in ["", *["_" + n for n in names]]]), F.col("variant") + 1)
+    return rows.withColumn("file", F.concat(F.col(stem), label, F.lit(".png")))
+
+
+#: The transforms that each image goes through once.
+TRANSFORMS = ["rotate", "noise", "elastic", "optical", "clahe", "affine", "perspective", "brightness", "blur", "grid", "hue", "median"]
+
+
+def _lot(key, name: str, seed: int):
+    """A number from 0 to 1, by a digest of key, name and seed."""
+    digest = F.md5(F.concat(key.cast("string"), F.lit(f":{name}:{seed}")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+
+
+def vertical_crops(df: DataFrame, key: str, height: str, seed: int, ratio: float = 0.2, share: float = 0.5) -> DataFrame:
+    """df with y1 and y2: of a share of the rows, either end is cut by up to half of the ratio of the height."""
+    most = F.floor(F.floor(F.col(height) * ratio) / 2)
+    cut = lambda name: F.when(_lot(F.col(key), "crop", seed) < share, F.floor(_lot(F.col(key), name, seed) * (most + 1))).otherwise(0)
+    return df.withColumn("y1", cut("top").cast("int")).withColumn("y2", (F.col(height) - cut("bottom")).cast("int"))
+
+
+def trials(spark, n: int, seed: int, *, rate: tuple[float, float] = (1e-6, 1e-4), decay: tuple[float, float] = (0.0, 0.1), warmup: tuple[int, int] = (0, 1000)) -> DataFrame:
+    """n sets of hyper-parameters: trial, lr (log-uniform), weight_decay (uniform), warmup (whole number); ends included."""
+    from math import log
+
+    own = spark.range(n).select(F.col("id").alias("trial"))
+    lr = F.exp(log(rate[0]) + _lot(F.col("trial"), "lr", seed) * (log(rate[1]) - log(rate[0])))
+    wd = decay[0] + _lot(F.col("trial"), "wd", seed) * (decay[1] - decay[0])
+    steps = warmup[0] + F.floor(_lot(F.col("trial"), "warmup", seed) * (warmup[1] - warmup[0] + 1))
+    return own.select("trial", lr.alias("lr"), wd.alias("weight_decay"), steps.cast("long").alias("warmup"))

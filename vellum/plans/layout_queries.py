@@ -85,6 +85,37 @@ def merge_boxes_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.merged_lines(boxes(spark, sf_dir))
 
 
+@query(f"""WITH RECURSIVE b AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY y1 + y2, ord) AS k, count(*) OVER (PARTITION BY page_id) AS n FROM {SQL_BOXES}),
+f AS (SELECT page_id, k, n, 0 AS line, x1, y1, x2, y2 FROM b WHERE k = 1 UNION ALL
+  SELECT page_id, k, n, line + (NOT j)::INT, CASE WHEN j THEN least(x1, a1) ELSE a1 END, CASE WHEN j THEN least(y1, b1) ELSE b1 END, CASE WHEN j THEN greatest(x2, a2) ELSE a2 END, CASE WHEN j THEN greatest(y2, b2) ELSE b2 END
+  FROM (SELECT f.page_id, b.k, f.n, f.line, f.x1, f.y1, f.x2, f.y2, b.x1 AS a1, b.y1 AS b1, b.x2 AS a2, b.y2 AS b2,
+    abs((b.y1 + b.y2) / 2 - (f.y1 + f.y2) / 2) <= CASE WHEN (b.y1 + b.y2) / 2 < 450 THEN 15 ELSE 10 END AS j FROM f JOIN b ON b.page_id = f.page_id AND b.k = f.k + 1))
+SELECT page_id, line::INT AS line, CASE WHEN n > 1 THEN 0 ELSE arg_max(x1, k) END AS x1, arg_max(y1, k) AS y1, CASE WHEN n > 1 THEN 799 ELSE arg_max(x2, k) END AS x2, arg_max(y2, k) AS y2 FROM f GROUP BY page_id, line, n""")
+def full_width_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tolerances of 15 and 10 by the half of the page; lines from edge to edge."""
+    return layout.full_width_lines(boxes(spark, sf_dir), width=800, height=900)
+
+
+_WARP = [[1.1, 0.2, 3.0], [-0.1, 0.9, 7.0], [0.0001, 0.0002, 1.0]]
+
+
+@query(f"SELECT page_id, ord::INT AS ord, round((1.1::DOUBLE * x1 + 0.2::DOUBLE * y1 + 3) / (0.0001::DOUBLE * x1 + 0.0002::DOUBLE * y1 + 1), 9) AS x, round((-0.1::DOUBLE * x1 + 0.9::DOUBLE * y1 + 7) / (0.0001::DOUBLE * x1 + 0.0002::DOUBLE * y1 + 1), 9) AS y FROM {SQL_BOXES}")
+def point_warp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = G.warped(F.col("x1"), F.col("y1"), _WARP)
+    return boxes(spark, sf_dir).select("page_id", "ord", F.round(x, 9).alias("x"), F.round(y, 9).alias("y"))
+
+
+@query(f"""SELECT page_id, ord::INT AS ord, greatest(trunc(x1 * 1000 / 512)::INT - 10, 0) AS x1, greatest(trunc(y1 * 700 / 512)::INT - 10, 0) AS y1, least(trunc(x2 * 1000 / 512)::INT + 10, 1000) AS x2, least(trunc(y2 * 700 / 512)::INT + 10, 700) AS y2 FROM {SQL_BOXES}""")
+def scaled_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = boxes(spark, sf_dir).select("page_id", "ord", "x1", "y1", "x2", "y2", F.lit(1000).alias("width"), F.lit(700).alias("height"))
+    return layout.scaled_regions(own).select("page_id", "ord", "x1", "y1", "x2", "y2")
+
+
+@query(f"SELECT page_id, ord::INT AS ord, x1, y1 FROM {SQL_BOXES} WHERE x1 % 6 = 5")
+def word_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.of_level(boxes(spark, sf_dir).withColumn("level", F.col("x1") % 6)).select("page_id", "ord", "x1", "y1")
+
+
 @query()
 def overlap_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.suppressed(boxes(spark, sf_dir))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as M
 from ..functions import tokens as K
-from ..operators import kernels, logs
+from ..operators import kernels, logs, splits
 from .registry import query
 from .standins import SQL_FRAMES, frames, read
 
@@ -27,9 +27,10 @@ def argmax_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames(spark, sf_dir).select("id", text(best).alias("ids"), text(K.until(best, 3)).alias("until_end"))
 
 
-@query(f"""SELECT id, array_to_string(list_transform(list_sort(list_transform(range(8), lambda i: struct_pack(x := -frames[1][i + 1], i := i)))[1:3], lambda s: s.i), ' ') AS best FROM {SQL_FRAMES}""")
+@query(f"""SELECT id, t::INT AS t, array_to_string(list_transform(list_sort(list_transform(range(8), lambda i: struct_pack(x := -f[i + 1], i := i)))[1:3], lambda s: s.i), ' ') AS best FROM (SELECT id, t, frames[t + 1] AS f FROM (SELECT *, unnest(range(8)) AS t FROM {SQL_FRAMES}))""")
 def top_k_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames(spark, sf_dir).select("id", F.array_join(K.top_k(F.get("frames", F.lit(0)), 3).cast("array<string>"), " ").alias("best"))
+    f = frames(spark, sf_dir).select("id", F.posexplode("frames").alias("t", "f"))
+    return f.select("id", "t", F.array_join(K.top_k(F.col("f"), 3).cast("array<string>"), " ").alias("best"))
 
 
 @query(f"""SELECT id, len(b)::INT AS n, array_to_string(list_concat(b, list_transform(range(max(len(b)) OVER (PARTITION BY id // 16) - len(b)), lambda i: -100)), ' ') AS padded
@@ -49,36 +50,38 @@ def ngram_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames(spark, sf_dir).select("id", K.repeats_ngram(F.transform("frames", K.argmax), 2).alias("repeats"))
 
 
-_LOGITS = f"(SELECT id, label % 8 AS y, frames[1] AS z FROM {SQL_FRAMES} WHERE label IS NOT NULL)"
+_LOGITS = f"(SELECT id, t::INT AS t, (label + t) % 8 AS y, frames[t + 1] AS z FROM (SELECT *, unnest(range(8)) AS t FROM {SQL_FRAMES} WHERE label IS NOT NULL))"
 _LSE = "(list_max(z) + ln(list_sum(list_transform(z, lambda x: exp(x - list_max(z))))))"
 
 
 def _logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames(spark, sf_dir).where("label is not null").select("id", (F.col("label") % 8).alias("y"), F.get("frames", F.lit(0)).alias("z"))
+    own = frames(spark, sf_dir).where("label is not null").select("id", "label", F.posexplode("frames").alias("t", "z"))
+    return own.select("id", "t", ((F.col("label") + F.col("t")) % 8).alias("y"), "z")
 
 
-@query(f"SELECT id, i::INT AS i, round(exp(z[i + 1] / 0.5 - t), 9) AS p FROM (SELECT id, z, (list_max(z) / 0.5 + ln(list_sum(list_transform(z, lambda x: exp((x - list_max(z)) / 0.5))))) AS t, unnest(range(8)) AS i FROM {_LOGITS})")
+@query(f"SELECT id, t, i::INT AS i, round(exp(z[i + 1] / 0.5 - l), 9) AS p FROM (SELECT id, t, z, (list_max(z) / 0.5 + ln(list_sum(list_transform(z, lambda x: exp((x - list_max(z)) / 0.5))))) AS l, unnest(range(8)) AS i FROM {_LOGITS})")
 def softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With temperature 0.5."""
     p = M.softmax(M.scaled(F.col("z"), 0.5))
-    return _logits(spark, sf_dir).select("id", F.posexplode(p).alias("i", "p")).select("id", "i", F.round("p", 9).alias("p"))
+    return _logits(spark, sf_dir).select("id", "t", F.posexplode(p).alias("i", "p")).select("id", "t", "i", F.round("p", 9).alias("p"))
 
 
-@query(f"""WITH c AS (SELECT id, {_LSE} - z[y + 1] AS ce, {_LSE} AS lse, list_sum(z) AS s, z, y FROM {_LOGITS})
-SELECT id, round(ce, 9) AS ce, round(pow(1 - exp(-ce), 2) * ce, 9) AS focal, round(0.9 * ce - 0.1 / 7 * (s - 8 * lse + ce), 9) AS smoothed, round(list_max(list_filter(z, lambda x, i: i <> y + 1)), 9) AS wrong,
+@query(f"""WITH c AS (SELECT id, t, {_LSE} - z[y + 1] AS ce, {_LSE} AS lse, list_sum(z) AS s, z, y FROM {_LOGITS})
+SELECT id, t, round(ce, 9) AS ce, round(pow(1 - exp(-ce), 2) * ce, 9) AS focal, round(0.9 * ce - 0.1 / 7 * (s - 8 * lse + ce), 9) AS smoothed, round(list_max(list_filter(z, lambda x, i: i <> y + 1)), 9) AS wrong,
   round(greatest(0, 0.1 - (z[y + 1] - lse) + (list_max(list_filter(z, lambda x, i: i <> y + 1)) - lse)), 9) AS rank_loss, round(ce / pow(8::DOUBLE, 2), 9) AS by_length FROM c""")
 def losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     z, y = F.col("z"), F.col("y")
     ce, wrong = M.cross_entropy(z, y), M.highest_wrong(z, y)
     rank = M.rank_margin(-ce, wrong - M.log_sum_exp(z))
     out = {"ce": ce, "focal": M.focal(z, y), "smoothed": M.smoothed(z, y), "wrong": wrong, "rank_loss": rank, "by_length": M.length_normalised(M.kl_one_hot(z, y), F.size(z), 2.0)}
-    return _logits(spark, sf_dir).select("id", *[F.round(c, 9).alias(k) for k, c in out.items()])
+    return _logits(spark, sf_dir).select("id", "t", *[F.round(c, 9).alias(k) for k, c in out.items()])
 
 
-@query(f"SELECT id, b::INT AS b, round(list_sum(list_transform(frames[b * 8 // 5 + 1 : (b * 8 + 12) // 5], lambda f: f[1])) / ((b * 8 + 12) // 5 - b * 8 // 5), 9) AS v FROM (SELECT *, unnest(range(5)) AS b FROM {SQL_FRAMES})")
+@query(f"SELECT id, b::INT AS b, d::INT AS d, round(list_sum(list_transform(frames[b * 8 // 5 + 1 : (b * 8 + 12) // 5], lambda f: f[d + 1])) / ((b * 8 + 12) // 5 - b * 8 // 5), 9) AS v FROM (SELECT *, unnest(range(8)) AS d FROM (SELECT *, unnest(range(5)) AS b FROM {SQL_FRAMES}))")
 def frame_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight frames to five means, overlapping at the borders; the first number of each."""
-    return frames(spark, sf_dir).select("id", F.posexplode(M.pooled(F.col("frames"), 5)).alias("b", "f")).select("id", "b", F.round(F.get("f", F.lit(0)), 9).alias("v"))
+    """Eight frames to five means, overlapping at the borders."""
+    own = frames(spark, sf_dir).select("id", F.posexplode(M.pooled(F.col("frames"), 5)).alias("b", "f"))
+    return own.select("id", "b", F.posexplode("f").alias("d", "v")).select("id", "b", "d", F.round("v", 9).alias("v"))
 
 
 @query(f"SELECT id, i::INT AS i, j::INT AS j, round(list_cosine_similarity(frames[i + 1], frames[j + 1]), 9) AS c FROM (SELECT *, unnest(range(i)) AS j FROM (SELECT *, unnest(range(8)) AS i FROM {SQL_FRAMES}))")
@@ -97,13 +100,48 @@ def attention_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames(spark, sf_dir).select("id", F.posexplode(a).alias("d", "v")).select("id", "d", F.round("v", 9).alias("v"))
 
 
-@query(f"""WITH s AS (SELECT id, i, list_transform(range(4), lambda j: list_cosine_similarity(frames[i + 1], frames[j + 5]) / 0.2) AS s FROM (SELECT *, unnest(range(4)) AS i FROM {SQL_FRAMES}))
-SELECT id, round(avg(ln(list_sum(list_transform(s, lambda x: exp(x)))) - s[i + 1]), 9) AS nce FROM s GROUP BY id""")
+@query(f"""WITH s AS (SELECT id, i, list_transform(range(4), lambda j: list_cosine_similarity(frames[i + 1], frames[j + 5]) / 0.2) AS s, list_transform(range(4), lambda j: list_cosine_similarity(frames[i + 5], frames[j + 1]) / 0.2) AS r
+  FROM (SELECT *, unnest(range(4)) AS i FROM {SQL_FRAMES})),
+n AS (SELECT id, avg(ln(list_sum(list_transform(s, lambda x: exp(x)))) - s[i + 1]) AS a, avg(ln(list_sum(list_transform(r, lambda x: exp(x)))) - r[i + 1]) AS b FROM s GROUP BY id)
+SELECT id, round(a, 9) AS nce, round(b, 9) AS back, round(a + b, 9) AS both FROM n""")
 def nce_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames 0 to 3 against 4 to 7, their own partner among them, with temperature 0.2."""
+    """Frames 0 to 3 against 4 to 7, their own partner among them, with temperature 0.2; the other way; and both."""
     a, b = F.slice("frames", 1, 4), F.slice("frames", 5, 4)
-    each = F.transform(a, lambda x, i: M.cross_entropy(F.transform(b, lambda y: M.cosine(x, y) / 0.2), i))
-    return frames(spark, sf_dir).select("id", F.round(M.total(each) / 4, 9).alias("nce"))
+    own = frames(spark, sf_dir).select("id", M.contrast(a, b).alias("nce"), M.contrast(b, a).alias("back"))
+    return own.select("id", F.round("nce", 9).alias("nce"), F.round("back", 9).alias("back"), F.round(F.col("nce") + F.col("back"), 9).alias("both"))
+
+
+#: A small table of token embeddings, eight tokens of eight numbers, made by a rule.
+_TABLE = [[((v * 8 + d) * 7 % 5 - 2) / 4 for d in range(8)] for v in range(8)]
+
+
+@query(f"""WITH l AS (SELECT id, t, label, y, z, {_LSE} AS lse FROM (SELECT id, t::INT AS t, label, greatest(0, least(label + t - 2, 7))::INT AS y, frames[t + 1] AS z FROM (SELECT *, unnest(range(8)) AS t FROM {SQL_FRAMES} WHERE label IS NOT NULL))),
+p AS (SELECT id, t, y, ((id + 3 * t) % 8)::INT AS w, z, lse, list_transform(z, lambda x: exp(x - lse)) AS p, list_transform(range(8), lambda v: list_transform(range(8), lambda d: (((v * 8 + d) * 7 % 5) - 2) / 4)) AS e FROM l),
+x AS (SELECT *, list_transform(range(8), lambda d: list_sum(list_transform(range(8), lambda v: p[v + 1] * e[v + 1][d + 1]))) AS x FROM p),
+s AS (SELECT *, list_transform(range(8), lambda v: (list_sum(list_transform(range(8), lambda d: e[v + 1][d + 1] * x[d + 1])) + p[1]) / 2) AS s FROM x),
+m AS (SELECT id, greatest(0, 0.1 - (z[y + 1] - lse) + (z[w + 1] - lse)) AS rank, greatest(0, 0.1 * (s[y + 1] - s[w + 1]) - (z[y + 1] - lse) + (z[w + 1] - lse)) AS margin, lse - z[y + 1] AS ce, s FROM s)
+SELECT id, round(avg(rank), 9) AS rank, round(avg(margin), 9) AS margin, round(sum(ce), 9) AS kl, round(avg(pow(1 - exp(-ce), 2) * ce), 9) AS focal, round(avg(rank) + avg(margin) + 0.01 * (sum(ce) + avg(pow(1 - exp(-ce), 2) * ce)), 9) AS total, round(avg(list_sum(s)), 9) AS similarity FROM m GROUP BY id""")
+def calibration_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of eight steps: ranking, margin by token similarity, divergence, focal loss and their sum; labels are clamped to the classes."""
+    own = frames(spark, sf_dir).where("label is not null").select("id", "label", F.posexplode("frames").alias("t", "z"))
+    own = own.select("id", M.clamped_label((F.col("label") + F.col("t") - 2).cast("int"), F.size("z")).alias("y"), ((F.col("id") + 3 * F.col("t")) % 8).cast("int").alias("w"), "z", M.softmax(F.col("z")).alias("p"))
+    table = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in _TABLE])
+    own = own.select("id", "y", "w", "z", M.log_softmax(F.col("z")).alias("lp"), M.token_similarity(F.col("p"), table).alias("s"))
+    at = lambda i: F.get("lp", F.col(i))
+    own = own.select("id", M.rank_margin(at("y"), at("w")).alias("rank"), M.similarity_margin(F.col("lp"), F.col("s"), F.col("y"), F.col("w")).alias("margin"), M.kl_one_hot(F.col("z"), F.col("y")).alias("ce"), M.focal(F.col("z"), F.col("y")).alias("focal"), M.total(F.col("s")).alias("s"))
+    out = own.groupBy("id").agg(*[f(c).alias(c) for f, c in ((F.avg, "rank"), (F.avg, "margin"), (F.sum, "ce"), (F.avg, "focal"), (F.avg, "s"))])
+    total = M.combined_loss(F.col("rank"), F.col("margin"), F.col("ce"), F.col("focal"))
+    return out.select("id", *[F.round(c, 9).alias(n) for n, c in (("rank", "rank"), ("margin", "margin"), ("kl", "ce"), ("focal", "focal"), ("similarity", "s"))], F.round(total, 9).alias("total"))
+
+
+_U = "(('0x' || substr(md5(trial || ':{}:11'), 1, 8))::BIGINT / 4294967296::DOUBLE)"
+
+
+@query(f"""SELECT trial, round(exp(ln(0.000001::DOUBLE) + {_U.format("lr")} * (ln(0.0001::DOUBLE) - ln(0.000001::DOUBLE))), 15) AS lr, round({_U.format("wd")} * 0.1::DOUBLE, 12) AS weight_decay, floor({_U.format("warmup")} * 1001)::BIGINT AS warmup FROM (SELECT unnest(range(20)) AS trial)""")
+def trial_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty sets of hyper-parameters: so many are what is asked for."""
+    t = splits.trials(spark, 20, 11)
+    return t.select("trial", F.round("lr", 15).alias("lr"), F.round("weight_decay", 12).alias("weight_decay"), "warmup")
 
 
 @query("""SELECT step, round(0.01 * pow(0.1, step // 30), 12) AS stepped, round(0.01 * CASE WHEN step < 10 THEN step / 10 ELSE greatest(0, (100 - step) / 90) END, 12) AS linear,

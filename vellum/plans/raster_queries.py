@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import raster as R
-from ..operators import kernels, pixels
+from ..operators import detect, kernels, pixels, prepare
 from .layout_queries import _DIMS, _dims
 from .registry import query
 from .standins import SQL_RASTERS, rasters
@@ -139,3 +141,55 @@ def transcribed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pipelines import transcribed
 
     return transcribed(rasters(spark, sf_dir).withColumnRenamed("img_id", "page_id"), 8, least_band=0)
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rasters as pages: every third one half as high and twice as wide."""
+    return rasters(spark, sf_dir).select("img_id", F.when(F.col("img_id") % 3 == 0, 16).otherwise(8).alias("w"), "px")
+
+
+@query()
+def page_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sharpened, halved, turned upright, cleaned, numbered."""
+    return prepare.prepared(_pages(spark, sf_dir), "img_id", borders=True, skew_options={"most": 3.0, "step": 0.5}, border_options={"length": 6, "gap": 2, "thick": 1})
+
+
+@query()
+def page_finished(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepare.finished(_pages(spark, sf_dir), "img_id", most=3.0, step=0.5)
+
+
+@query(f"""WITH h AS (SELECT *, len(px) // w AS h FROM (SELECT img_id, px, CASE WHEN img_id % 3 = 0 THEN 16 ELSE 8 END AS w FROM {SQL_RASTERS})),
+p AS (SELECT img_id, w, h, w AS full_w, 'whole' AS side, 0 AS x0, px FROM h WHERE w <= h UNION ALL SELECT img_id, w // 2, h, w, 'left', 0, px FROM h WHERE w > h UNION ALL SELECT img_id, w - w // 2, h, w, 'right', w // 2, px FROM h WHERE w > h)
+SELECT img_id, side, w::INT AS w, md5(array_to_string(list_transform(range(w * h), lambda i: px[(i // w) * full_w + x0 + i % w + 1]), ',')) AS digest FROM p""")
+def pages_halved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = prepare.halved(_pages(spark, sf_dir), "img_id")
+    return own.select("img_id", "side", "w", F.md5(F.array_join(F.col("px").cast("array<string>"), ",").cast("binary")).alias("digest"))
+
+
+@query(f"""WITH g AS (SELECT a.img_id, a.x, a.y, a.v, max(b.v) AS m FROM {_PIXELS} a JOIN {_PIXELS} b ON a.img_id = b.img_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY ALL)
+SELECT img_id, sum(CASE WHEN m > 0 THEN round_even(v / m * 255, 0)::INT ELSE 255 END * (1 + x + 8 * y))::BIGINT AS weighed FROM g GROUP BY img_id""")
+def background_evened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divided by the brightest of the 3 by 3 pixels around; a weighed sum of all pixels."""
+    own = prepare.chained(_pages(spark, sf_dir).withColumn("w", F.lit(8)), "img_id", [partial(prepare.evened, size=3)])
+    return own.select("img_id", F.aggregate(F.transform("px", lambda v, i: v.cast("long") * (1 + i)), F.lit(0).cast("long"), lambda s, x: s + x).alias("weighed"))
+
+
+@query(f"""SELECT a.img_id, sum(CASE WHEN m > 240 THEN 40 ELSE 0 END)::BIGINT AS total FROM (SELECT a.img_id, a.x, a.y, max(b.v) AS m FROM {_PIXELS} a JOIN {_PIXELS} b ON a.img_id = b.img_id AND b.y BETWEEN a.y - 2 AND a.y + 1 AND b.x BETWEEN a.x - 8 AND a.x + 7 GROUP BY ALL) a GROUP BY 1""")
+def mask_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = prepare.chained(_pages(spark, sf_dir).withColumn("w", F.lit(8)), "img_id", [prepare.mask_levels])
+    return own.select("img_id", F.aggregate("px", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+
+
+@query()
+def fitted_resize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filled up to four times as wide as high, then resized."""
+    return prepare.chained(_pages(spark, sf_dir), "img_id", [partial(prepare.fitted, h=10, w=40)])
+
+
+@query()
+def word_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rasters, and rasters turned around, as score maps of text and links."""
+    text = F.transform("px", lambda v: v / 255)
+    maps = rasters(spark, sf_dir).select("img_id", F.lit(8).alias("w"), text.alias("text"), F.reverse(text).alias("link"))
+    return detect.detected(maps, "img_id", text_least=0.55, link_least=0.7, peak_least=0.6, least_area=3)

@@ -9,7 +9,7 @@ from ..functions import names as N
 from ..functions import text as T
 from ..functions import tokens as K
 from ..functions.ranges import numbered
-from ..operators import align, metrics, splits
+from ..operators import align, logs, metrics, splits
 from .registry import query
 from .standins import SQL_BYTES, SQL_LINES, SQL_RECOGNISED, lines, read, recognised
 
@@ -196,6 +196,11 @@ def line_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.size(T.lines(t)).alias("by_split"), F.size(T.lines(t, keep_last_empty=False)).alias("by_lines"))
 
 
+@query("SELECT doc_id, (length(text) - length(replace(text, ';', '')))::INT AS marks, (length(text) - length(replace(text, '.', '')))::INT AS stops FROM documents")
+def count_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", T.count_of(F.col("text"), ";").alias("marks"), T.count_of(F.col("text"), ".").alias("stops"))
+
+
 # --- file names and orders
 
 
@@ -319,6 +324,33 @@ def renumber_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.renumbered(read(spark, sf_dir, "conversations").select("turn", "conv_id"), ["conv_id", "turn"], 100)
 
 
+@query("SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn // 2, turn) + 6 AS number, (row_number() OVER (ORDER BY conv_id, turn // 2, turn) + 6) || ';' || (turn // 2) || '.png' AS file FROM conversations")
+def numbered_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two words a line; numbers run on over all pages, from where the last ones ended."""
+    words = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.floor(F.col("turn") / 2).alias("line"))
+    return align.crop_names(words, "conv_id", "line", ["turn"], 7).select("conv_id", "turn", "number", "file")
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def books_in_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.in_both(read(spark, sf_dir, "documents").select("doc_id", "source"), read(spark, sf_dir, "labels"), ["doc_id"])
+
+
+@query("""WITH n AS (SELECT conv_id, turn, role, row_number() OVER (ORDER BY conv_id, turn) - 1 AS i, count(*) OVER () AS n FROM conversations)
+SELECT i // 8 AS chunk, count(*) AS n, string_agg(role, ' ' ORDER BY i) AS words FROM n WHERE i < n // 10 GROUP BY 1""")
+def words_per_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first tenth of predicted words, eight to a line."""
+    own = align.chunked(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), ["conv_id", "turn"], 8, 1, 10)
+    words = F.transform(F.array_sort(F.collect_list(F.struct("conv_id", "turn", "role"))), lambda x: x["role"])
+    return own.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.array_join(words, " ").alias("words"))
+
+
+@query("SELECT source, count(*) AS n, (ceil(count(*) / 16) * 16)::BIGINT AS padded FROM documents GROUP BY source")
+def dataset_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = read(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return n.select("source", "n", logs.padded_size(F.col("n"), 16).cast("long").alias("padded"))
+
+
 @query("SELECT source, (max(doc_id) + row_number() OVER (ORDER BY source))::BIGINT AS next FROM documents GROUP BY source")
 def next_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where renumbered copies of each source would go on."""
@@ -342,6 +374,12 @@ def split_9010_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.head_tail(read(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], 9, 10, names=("train", "val"))
 
 
+@query("SELECT doc_id, lang FROM documents ORDER BY md5(doc_id || ':7'), doc_id LIMIT 10")
+def random_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten files by lot: drawing so many is what it does."""
+    return splits.drawn(read(spark, sf_dir, "documents").select("doc_id", "lang"), ["doc_id"], 10, 7)
+
+
 @query("SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 2")
 def tail_pages_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.last_of(read(spark, sf_dir, "conversations").select("conv_id", "turn"), ["conv_id"], ["turn"], 2)
@@ -356,3 +394,18 @@ def batch_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, doc_id || CASE WHEN a = 0 THEN '' ELSE '_rot' || a END || g || '.png' AS file FROM documents, (SELECT unnest(range(-5, 6)) AS a), (VALUES (''), ('_gauss')) AS t(g)")
 def augment_enumerate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.augmented_names(read(spark, sf_dir, "documents").select("doc_id"), "doc_id", 5)
+
+
+@query("SELECT doc_id, v::INT AS variant, doc_id || CASE WHEN v = 0 THEN '' ELSE '_' || (['rotate', 'noise', 'elastic', 'optical', 'clahe', 'affine', 'perspective', 'brightness', 'blur', 'grid', 'hue', 'median'])[v] END || '.png' AS file FROM documents, (SELECT unnest(range(0, 13)) AS v)")
+def thirteen_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.variants(read(spark, sf_dir, "documents").select("doc_id"), "doc_id", splits.TRANSFORMS)
+
+
+_LOT = "(('0x' || substr(md5(page_id || ':{}:3'), 1, 8))::BIGINT / 4294967296::DOUBLE)"
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS page_id, (300 + p_partkey % 200)::INT AS height FROM part), c AS (SELECT page_id, height, {_LOT.format("crop")} < 0.5 AS cut, floor(floor(height * 0.2::DOUBLE) / 2) + 1 AS most FROM p)
+SELECT page_id, CASE WHEN cut THEN floor({_LOT.format("top")} * most) ELSE 0 END::INT AS y1, (height - CASE WHEN cut THEN floor({_LOT.format("bottom")} * most) ELSE 0 END)::INT AS y2 FROM c""")
+def vertical_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), (300 + F.col("p_partkey") % 200).cast("int").alias("height"))
+    return splits.vertical_crops(pages, "page_id", "height", 3).select("page_id", "y1", "y2")
