@@ -206,10 +206,10 @@ def _tiles(left: DataFrame, members: DataFrame) -> DataFrame:
     members, few as a rule, are what has to be compared: with each other (kind 0) and with the leading component's
     (kind 1), in tiles of at most about two times TILE members, or TILE_SHINGLES shingles.
     """
-    own = left.select("lead", "id", "component").distinct().join(members.select("id", "n_shingles"), "id")
+    own = written(left.select("lead", "id", "component").distinct().join(members.select("id", "n_shingles"), "id"), "tile-members")
     other = F.col("component") != F.col("lead")
     parts = lambda which: F.ceil(F.greatest(F.sum(which.cast("int")) / TILE, F.sum(F.when(which, F.col("n_shingles")).otherwise(0)) / TILE_SHINGLES)).cast("int")
-    sizes = own.groupBy("lead").agg(parts(other).alias("s"), parts(~other).alias("g"))
+    sizes = written(own.groupBy("lead").agg(parts(other).alias("s"), parts(~other).alias("g")), "tile-sizes")  # a row a group, so a large one's join is Spark's to split
     own = own.join(sizes, "lead").withColumn("part", F.pmod(F.xxhash64("id"), F.when(other, F.col("s")).otherwise(F.col("g"))).cast("int"))
     among = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda j: F.struct(F.lit(0).alias("kind"), F.least("part", j).alias("p"), F.greatest("part", j).alias("q")))
     down = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda j: F.struct(F.lit(1).alias("kind"), j.alias("p"), F.col("part").alias("q")))
