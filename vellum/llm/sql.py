@@ -1,5 +1,7 @@
 """SQL for the queries of this subpackage that SQL can express."""
 
+from .license_scan import MENTIONS, TEMPLATES
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP8 = f"""
@@ -73,16 +75,23 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM t GROUP BY conv_id
 """
 
-_ANY = "[^ ]+"
-_TEMPLATES = {
-    "apache-2.0": "licensed under the apache license(?: version)? 2 0",
-    "mit": f"permission is hereby granted free of charge to any person obtaining a copy of {_ANY}(?: {_ANY}){{0,5}} and associated documentation files(?: the {_ANY}(?: {_ANY})?)? to deal in the software without restriction",
-    "bsd": f"redistribution and use(?: of {_ANY}(?: {_ANY}){{0,5}})? in source and binary forms with or without modification are permitted",
-    "mit-short": "(?:released )?under the mit license",
-    "gpl-version": f"gnu (?:lesser )?general public license (?:as published by the free software foundation either )?version {_ANY}",
-    "cc-by-version": f"(?:licensed under )?cc by {_ANY} 0",
-}
-_WHOLE = ", ".join(f"CASE WHEN regexp_matches(s, ' {t} ') THEN '{k}' END" for k, t in _TEMPLATES.items())
+
+
+def _regex(template: str) -> str:
+    """A template as a regular expression over words that each have a blank before them."""
+    marks = {"<<optional>>": "(?:", "<</optional>>": ")?"}
+    out = []
+    for part in template.replace("<<", " <<").replace(">>", ">> ").split():
+        if part.startswith("<<any:"):
+            out.append("(?: [^ ]+){%s,%s}" % tuple(part[6:-2].split("-")))
+        else:
+            out.append(marks.get(part, " " + part))
+    return "".join(out) + " "
+
+
+def _labels_of(templates: dict[str, str]) -> str:
+    return ", ".join(f"CASE WHEN regexp_matches(s, '{_regex(t)}') THEN '{k}' END" for k, t in templates.items())
+
 
 #: Every word is between two blanks of its own, so that phrases that follow each other are both found.
 OP5 = f"""
@@ -94,10 +103,10 @@ p AS (
     WHEN w[i] = 'all' AND w[i + 1] = 'rights' AND w[i + 2] = 'reserved' THEN 'reserved' END AS label
   FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)
 ), b AS (SELECT doc_id, count(*) AS n, min(pos) AS a, max(pos) AS z, list(DISTINCT label) AS l FROM p WHERE label IS NOT NULL GROUP BY doc_id),
-m AS (SELECT doc_id, len(w) AS n_words, list_filter([{_WHOLE}], lambda x: x IS NOT NULL) AS whole FROM s)
+m AS (SELECT doc_id, len(w) AS n_words, list_filter([{_labels_of(TEMPLATES)}], lambda x: x IS NOT NULL) AS whole, list_filter([{_labels_of(MENTIONS)}], lambda x: x IS NOT NULL) AS named FROM s)
 SELECT doc_id, n_words, coalesce(n, 0) AS n_base, a AS first_word, z AS last_word, coalesce(array_to_string(list_sort(l), ','), '') AS base_labels,
-  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(l, []), whole))), ','), '') AS labels,
-  CASE WHEN len(whole) > 0 THEN 1.0::DOUBLE WHEN n > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(list_concat(coalesce(l, []), whole), named))), ','), '') AS labels,
+  CASE WHEN len(whole) > 0 THEN 1.0::DOUBLE WHEN len(named) > 0 THEN 0.8::DOUBLE WHEN n > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score
 FROM m LEFT JOIN b USING (doc_id)
 """
 
