@@ -112,3 +112,25 @@ def test_otsu_is_the_column_functions(spark):
     rows = [(i, [rng.choice((rng.randint(0, 90), rng.randint(120, 255))) for _ in range(64)]) for i in range(20)] + [(20, [5] * 64)]
     got = spark.createDataFrame(rows, "id int, px array<int>").select("id", R.otsu(F.col("px")).alias("t")).collect()
     assert {r["id"]: r["t"] for r in got} == {i: kernels.otsu(np.array(px)) for i, px in rows}
+
+
+def test_shortest_way_by_relaxation():
+    r = np.random.default_rng(4)
+    for _ in range(40):
+        h, w = r.integers(2, 7, 2)
+        cost = r.integers(0, 9, (h, w)).astype("f8")
+        cost[r.random((h, w)) < 0.2] = np.inf
+        start, end = (0, 0), (h - 1, w - 1)
+        far = np.full((h, w), np.inf)
+        far[start] = 0
+        for _ in range(h * w):
+            for y in range(h):
+                for x in range(w):
+                    near = far[max(0, y - 1) : y + 2, max(0, x - 1) : x + 2].min()
+                    far[y, x] = min(far[y, x], near + cost[y, x])
+        way = kernels.shortest(cost, start, end)
+        if np.isinf(far[end]):
+            assert way is None
+        else:
+            assert way[0] == start and way[-1] == end and sum(cost[p] for p in way[1:]) == far[end]
+            assert all(max(abs(a - c), abs(b - d)) <= 1 for (a, b), (c, d) in zip(way, way[1:], strict=False))

@@ -76,3 +76,8 @@ def canvas(w: Column, h: Column, most: int, grid: int = 32) -> tuple[Column, Col
     ratio = F.least(F.lit(1.0), most / F.greatest(w, h))
     up = lambda x: (F.ceil(F.floor(x * ratio) / grid) * grid).cast("int")
     return ratio, up(w), up(h)
+
+
+def heat_levels(scores: Column) -> Column:
+    """Scores cut to 0 to 1, as whole levels from 0 to 255: what a colour map takes."""
+    return F.transform(scores, lambda x: F.floor(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)) * 255).cast("int"))

@@ -96,3 +96,9 @@ def char_edits(a: Column, b: Column) -> Column:
 def word_edits(a: Column, b: Column) -> Column:
     """Edit distance of two word arrays."""
     return F.when(a == b, F.lit(0)).otherwise(edits.of_words(a, b))
+
+
+def similarity_pair(a: Column, b: Column) -> Column:
+    """Of a reference and a prediction: one less the character error rate, and the rate; without characters 1 and 0."""
+    rate = F.when(F.length(a) > 0, char_edits(a, b) / F.length(a)).otherwise(F.lit(0.0))
+    return F.array(1 - rate, rate)

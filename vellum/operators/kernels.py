@@ -158,6 +158,46 @@ def cheapest_paths(rasters: DataFrame, key: str, width: int) -> DataFrame:
     return _each(rasters, key, width, "way array<int>, cost double", one)
 
 
+def shortest(cost: np.ndarray, start: tuple[int, int], end: tuple[int, int]) -> list[tuple[int, int]] | None:
+    """The pixels of the cheapest way between two, by steps to any of the eight neighbours, back as well; its cost is that of the pixels after the first.
+
+    Costs mustn't be negative; pixels of infinite cost are walls; None if there's no way. Ties go to the way found by the smaller pixel.
+    """
+    import heapq
+
+    h, w = cost.shape
+    best, back, done = {start: 0.0}, {}, set()
+    todo = [(0.0, start)]
+    while todo:
+        so_far, (y, x) = heapq.heappop(todo)
+        if (y, x) == end:
+            way = [end]
+            while way[-1] != start:
+                way.append(back[way[-1]])
+            return way[::-1]
+        if (y, x) in done:
+            continue
+        done.add((y, x))
+        for i in range(max(0, y - 1), min(h, y + 2)):
+            for j in range(max(0, x - 1), min(w, x + 2)):
+                total = so_far + float(cost[i, j])
+                if (i, j) not in done and total < best.get((i, j), np.inf):
+                    best[i, j], back[i, j] = total, (y, x)
+                    heapq.heappush(todo, (total, (i, j)))
+    return None
+
+
+def shortest_paths(rasters: DataFrame, key: str, width: int) -> DataFrame:
+    """rows, columns, cost of the cheapest way through the ink, dark pixels being dear, from the middle of the left edge to that of the right one."""
+
+    def one(px: np.ndarray) -> list[tuple]:
+        ink = 255.0 - px
+        way = shortest(ink, (len(px) // 2, 0), (len(px) // 2, width - 1))
+        return [([y for y, _ in way], [x for _, x in way], float(sum(ink[p] for p in way[1:])))]
+
+    return _each(rasters, key, width, "rows array<int>, columns array<int>, cost double", one)
+
+
 def otsu(px: np.ndarray) -> int:
     """The threshold with the greatest variance between the classes up to it and above it; the smallest of equal ones."""
     values, counts = np.unique(px, return_counts=True)

@@ -11,7 +11,7 @@ from ..functions import raster as R
 from ..operators import detect, kernels, pixels, prepare
 from .layout_queries import _DIMS, _dims
 from .registry import query
-from .standins import SQL_RASTERS, rasters
+from .standins import SQL_RASTERS, rasters, read
 
 
 @query(f"SELECT img_id, i::INT AS i, round(0.299::DOUBLE * px[i + 1] + 0.587::DOUBLE * px[i + 2] + 0.114::DOUBLE * px[i + 3], 6) AS g FROM (SELECT img_id, px, unnest(range(0, 61, 3)) AS i FROM {SQL_RASTERS})")
@@ -193,3 +193,15 @@ def word_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.transform("px", lambda v: v / 255)
     maps = rasters(spark, sf_dir).select("img_id", F.lit(8).alias("w"), text.alias("text"), F.reverse(text).alias("link"))
     return detect.detected(maps, "img_id", text_least=0.55, link_least=0.7, peak_least=0.6, least_area=3)
+
+
+@query()
+def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Between the middles of the edges, around the ink."""
+    return kernels.shortest_paths(rasters(spark, sf_dir), "img_id", 8)
+
+
+@query("SELECT vec_id AS img_id, list_sum(list_transform(embedding, lambda x: floor(least(greatest(x::DOUBLE, 0), 1) * 255)::INT))::BIGINT AS total FROM embeddings")
+def heat_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("img_id"), R.heat_levels(F.col("embedding").cast("array<double>")).alias("l"))
+    return own.select("img_id", F.aggregate("l", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))

@@ -75,6 +75,12 @@ def bleu4_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.corpus_bleu(scored(spark, sf_dir), "text", "pred", ["source"])
 
 
+@query(f"SELECT doc_id, line_no::INT AS line_no, round(CASE WHEN length(text) > 0 THEN 1 - edits / length(text) ELSE 1 END, 9) AS alike, round(CASE WHEN length(text) > 0 THEN edits / length(text) ELSE 0 END, 9) AS apart FROM {_PAIRS}")
+def similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pair = T.similarity_pair(F.col("text"), F.col("pred"))
+    return scored(spark, sf_dir).select("doc_id", "line_no", pair.alias("s")).select("doc_id", "line_no", F.round(F.get("s", F.lit(0)), 9).alias("alike"), F.round(F.get("s", F.lit(1)), 9).alias("apart"))
+
+
 @query()
 def macro_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.macro_means(scored(spark, sf_dir), "text", "pred", ["lang"])
