@@ -12,19 +12,21 @@ def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it's used, inside lambdas too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def log_sum_exp(a: Column) -> Column:
-    top = F.array_max(a)
-    return top + F.log(total(F.transform(a, lambda x: F.exp(x - top))))
+    return bound(a, lambda v: bound(F.array_max(v), lambda top: top + F.log(total(F.transform(v, lambda x: F.exp(x - top))))))
 
 
 def softmax(a: Column) -> Column:
-    top = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / total(e))
+    return bound(a, lambda v: bound(log_sum_exp(v), lambda whole: F.transform(v, lambda x: F.exp(x - whole))))
 
 
 def log_softmax(a: Column) -> Column:
-    return F.transform(a, lambda x: x - log_sum_exp(a))
+    return bound(a, lambda v: bound(log_sum_exp(v), lambda whole: F.transform(v, lambda x: x - whole)))
 
 
 def scaled(a: Column, temperature: float) -> Column:
@@ -55,8 +57,7 @@ def token_similarity(probabilities: Column, embeddings: Column) -> Column:
     """For each token: its embedding's product with the expected embedding, and the probability of token 0, halved."""
     weighted = F.zip_with(embeddings, probabilities, lambda e, p: F.transform(e, lambda x: x * p))
     expected = F.aggregate(F.slice(weighted, 2, F.size(weighted)), F.get(weighted, F.lit(0)), lambda s, e: F.zip_with(s, e, lambda x, y: x + y))
-    # bound by a lambda, or the expected embedding would be made anew for each token
-    return F.flatten(F.transform(F.array(expected), lambda x: F.transform(embeddings, lambda e: (dot(e, x) + F.get(probabilities, F.lit(0))) / 2)))
+    return bound(expected, lambda x: F.transform(embeddings, lambda e: (dot(e, x) + F.get(probabilities, F.lit(0))) / 2))
 
 
 def clamped_label(label: Column, classes: Column) -> Column:

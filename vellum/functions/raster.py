@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numeric import bound
+
 #: Weights of red, green, blue.
 LUMA = (0.299, 0.587, 0.114)
 LUMA_LINEAR = (0.2125, 0.7154, 0.0721)
@@ -33,21 +35,28 @@ def row_sums(px: Column, width: int) -> Column:
 def otsu(px: Column) -> Column:
     """The threshold with the greatest variance between the classes up to it and above it; the smallest of equal ones.
 
-    Candidates are the values that occur, so one pass over them is enough; the last, with nothing above, never wins
-    unless it's alone.
+    One pass over the sorted values: where a value ends, the count and the sum so far give the variance, in whole
+    numbers up to a division.
     """
-    n = F.size(px)
-    sums = F.aggregate(px, F.lit(0).cast("long"), lambda s, x: s + x)
-
-    def between(t: Column) -> Column:
-        low = F.filter(px, lambda x: x <= t)
-        w, m = F.size(low), F.aggregate(low, F.lit(0).cast("long"), lambda s, x: s + x)
-        # n**2 w (n - w) times the variance, in whole numbers
-        d = m * n - sums * w
-        return F.when(w < n, d * d / (w.cast("double") * (n - w))).otherwise(F.lit(0.0))
-
-    scored = F.transform(F.array_distinct(px), lambda t: F.struct(between(t).alias("v"), (-t).alias("t")))
-    return -F.array_max(scored)["t"]
+
+    def best(values: Column) -> Column:
+        n, sums = F.size(values), F.aggregate(values, F.lit(0).cast("long"), lambda s, x: s + x)
+
+        def scan(total: Column) -> Column:
+            start = F.struct(F.lit(0).cast("long").alias("m"), F.lit(0.0).alias("v"), F.get(values, F.lit(0)).alias("t"))
+
+            def step(s: Column, i: Column) -> Column:
+                x, w = F.get(values, i), i + 1
+                m = s["m"] + x
+                d = m * n - total * w
+                v = F.when(F.get(values, w) != x, d * d / (w.cast("double") * (n - w)))
+                return F.struct(m.alias("m"), F.greatest(s["v"], v).alias("v"), F.when(v > s["v"], x).otherwise(s["t"]).alias("t"))
+
+            return F.aggregate(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), start, step)["t"]
+
+        return bound(sums, scan)
+
+    return bound(F.sort_array(px), best)
 
 
 def min_max(px: Column) -> Column:
