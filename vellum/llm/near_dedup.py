@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .bloom import Bloom
 from .common import written
 from .components import components, forest
-from .textkit import lowered, mixed, raw, slices, text_column, word_hashes, words
+from .textkit import lowered, mixed, raw, released, slices, text_column, word_hashes, words
 
 #: Registers, registers of a band, base and rate of the sketch.
 REGISTERS, BAND, BASE, RATE = 128, 4, 1.001, 20.0
@@ -116,6 +116,7 @@ def _sketches(k: int):
                     [*[batch.column(c).slice(lo, hi - lo) for c in (0, 1)], pa.array(np.diff(ends)), pa.array(sig[0]), pa.array(sig[1]), held],
                     ["doc_id", "digest", "n_shingles", "sig_a", "sig_b", "registers"],
                 )
+        released()
 
     return run
 
@@ -151,6 +152,7 @@ def _with_sets(k: int):
                 x, ends = shingle_sets(texts.slice(lo, hi - lo), k)
                 sets = pa.array([x[a:b].astype("<u8").tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(lo, hi - lo) for c in range(3)], sets], ["id", "n_shingles", "registers", "set"])
+        released()
 
     return run
 
@@ -169,6 +171,7 @@ def _verified(percent: int):
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     ok[i] = 100 * both >= percent * (len(x) + len(y) - both)
                 yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(ok)) for c in ("a", "b")], ["a", "b"])
+        released()
 
     return run
 
@@ -217,15 +220,17 @@ def _tiles(left: DataFrame, members: DataFrame) -> DataFrame:
     return own.select("lead", "id", "component", "part", other.alias("other"), F.inline(F.when(other, F.concat(among, across)).otherwise(down)))
 
 
-def shared_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, columns: int = 4096) -> np.ndarray:
+def shared_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, columns: int = 1024) -> np.ndarray:
     """How many elements each set of a shares with each of b: products of incidence matrices, some elements at a time."""
-    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    _, code, many = np.unique(values, return_inverse=True, return_counts=True)
-    keep = many[code] > 1
-    code, owner = np.unique(code[keep], return_inverse=True)[1], owner[keep]
-    order = np.argsort(code, kind="stable")
-    code, owner = code[order], owner[order]
-    out = np.zeros((len(a), len(b)))
+    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype="i4"), [len(x) for x in sets])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    first = np.append(True, values[1:] != values[:-1])
+    many = np.diff(np.append(np.flatnonzero(first), len(values)))
+    keep = np.repeat(many > 1, many)  # an element of one set isn't shared
+    code = np.cumsum(first[keep], dtype="i4") - 1
+    owner = owner[keep]
+    out = np.zeros((len(a), len(b)), dtype="f4")  # counts below 2**24 are exact
     for lo in range(0, int(code[-1]) + 1 if len(code) else 0, columns):
         i, j = np.searchsorted(code, [lo, lo + columns])
         m = np.zeros((len(sets), columns), dtype="f4")
@@ -234,20 +239,33 @@ def shared_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, columns:
     return out
 
 
-def _estimated(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, threshold: float) -> np.ndarray:
-    """For rows of registers of two sides: which pairs the estimate doesn't rule out.
+def reaches(above: np.ndarray, below: np.ndarray, equal: np.ndarray, u: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the similarity with the greatest likelihood is the threshold or more, for counts of registers.
 
-    The share of equal registers, which the similarity is at most, is counted for all pairs; the likelihood is for the rest.
+    The logarithm of the likelihood is concave in the similarity, so it is if it doesn't fall on the last hundredth
+    below the threshold. u is the first set's share of both sizes; sizes that allow the threshold are assumed.
     """
-    equal = np.zeros((len(a), len(b)), dtype="u1")
-    for r in range(a.shape[1]):
-        equal += a[:, r][:, None] == b[:, r][None]
-    near = (n_a[:, None] >= threshold * n_b[None] - 1e-9) & (n_b[None] >= threshold * n_a[:, None] - 1e-9)
-    out = near & (equal >= (threshold - MARGIN) * a.shape[1])
-    i, j = np.nonzero(out)
-    for lo in range(0, len(i), 2000):
-        x, y = i[lo : lo + 2000], j[lo : lo + 2000]
-        out[x, y] = likeliest(a[x], b[y], n_a[x], n_b[y]) >= threshold - MARGIN
+    change = np.zeros(above.shape)
+    for j, sign in ((threshold, 1), (threshold - 0.01, -1)):
+        p = -np.log1p(-np.clip(u - (1 - u) * j, 1e-12, 1) * (BASE - 1) / BASE) / np.log(BASE)
+        q = -np.log1p(-np.clip(1 - u - u * j, 1e-12, 1) * (BASE - 1) / BASE) / np.log(BASE)
+        change += sign * (above * np.log(p) + below * np.log(q) + equal * np.log(np.maximum(1 - p - q, 1e-12)))
+    return change >= 0
+
+
+def _estimated(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, threshold: float) -> np.ndarray:
+    """For rows of registers of two sides: which pairs the estimate doesn't rule out; some rows at a time."""
+    out = np.zeros((len(a), len(b)), dtype=bool)
+    for lo in range(0, len(a), 128):
+        x, n = a[lo : lo + 128], n_a[lo : lo + 128, None]
+        equal, above = np.zeros((2, len(x), len(b)), dtype="u1")
+        for r in range(a.shape[1]):
+            equal += x[:, r][:, None] == b[:, r][None]
+            above += x[:, r][:, None] > b[:, r][None]
+        near = (n >= threshold * n_b[None] - 1e-9) & (n_b[None] >= threshold * n - 1e-9)
+        i, j = np.nonzero(near & (equal >= (threshold - MARGIN) * a.shape[1]))  # a similarity is at most the share of equal ones
+        e, v = equal[i, j].astype("f8"), above[i, j].astype("f8")
+        out[lo + i, j] = reaches(v, a.shape[1] - e - v, e, n[i, 0] / (n[i, 0] + n_b[j]), threshold - MARGIN)
     return out
 
 
@@ -258,16 +276,23 @@ def _tile_links(percent: int):
         a, b = (np.flatnonzero(other), np.flatnonzero(~other)) if kind else (np.flatnonzero(part == p), np.flatnonzero(part == q))
         found: list[tuple[int, int]] = []
         if len(a) and len(b):
-            regs, n = _rows(tile.column("registers")), n.astype("f8")
-            likely = _estimated(regs[a], regs[b], n[a], n[b], percent / 100) & (comp[a][:, None] != comp[b][None])
+            n = n.astype("f8")
+            likely = _estimated(_rows(tile.column("registers").take(pa.array(a))), _rows(tile.column("registers").take(pa.array(b))), n[a], n[b], percent / 100)
+            likely &= comp[a][:, None] != comp[b][None]
             a, b, likely = a[x := likely.any(1)], b[y := likely.any(0)], likely[x][:, y]
             used = np.union1d(a, b)
-            sets = [np.frombuffer(tile.column("set")[int(i)].as_buffer(), dtype="<u8") for i in used]
-            both = shared_counts(sets, np.searchsorted(used, a), np.searchsorted(used, b)) if len(used) else likely
-            linked = likely & (100 * both >= percent * (n[a][:, None] + n[b][None] - both))
-            found = [(int(ids[a[i]]), int(ids[b[j]])) for i, j in zip(*np.nonzero(linked), strict=True)]
+            if len(used):
+                sets = [np.frombuffer(tile.column("set")[int(i)].as_buffer(), dtype="<u8") for i in used]
+                both = shared_counts(sets, np.searchsorted(used, a), np.searchsorted(used, b))
+                for i in range(len(a)):
+                    own = np.flatnonzero(likely[i] & (100 * both[i].astype("f8") >= percent * (n[a[i]] + n[b] - both[i])))
+                    found += [(int(ids[a[i]]), int(x)) for x in ids[b[own]]]
+                    if len(found) > 50_000:  # a forest of them says the same
+                        found = [(x, r) for x, r in forest(found).items() if x != r]
         stars = [(x, r) for x, r in forest(found).items() if x != r]
-        return pa.table({"a": pa.array([x for x, _ in stars], pa.int64()), "b": pa.array([r for _, r in stars], pa.int64())})
+        out = pa.table({"a": pa.array([x for x, _ in stars], pa.int64()), "b": pa.array([r for _, r in stars], pa.int64())})
+        released()
+        return out
 
     return run
 

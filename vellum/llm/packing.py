@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bucket_count, read_bytes, written
-from .textkit import WordTokenizer, slices, text_column
+from .textkit import WordTokenizer, released, slices, text_column
 
 PIECES = "doc_id {id}, piece int, start long, length int, ids binary"
 
@@ -54,6 +54,7 @@ def encode_pieces(
                     [ids.slice(lo, hi - lo).take(pa.array(row)), pa.array(piece.astype("i4")), pa.array(begin.astype("i8")), pa.array(length.astype("i4")), held],
                     ["doc_id", "piece", "start", "length", "ids"],
                 )
+        released()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, PIECES.format(id=id_type))
 

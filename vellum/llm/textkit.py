@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 from array import array
@@ -15,6 +16,13 @@ import pyarrow.compute as pc
 CHUNK = 1_000_000
 
 
+def released() -> None:
+    """Gives memory that this worker has freed back to the machine; workers live on after their tasks, beside others."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def text_column(column: pa.Array) -> pa.Array:
     """Strings without nulls (null: empty), with 64-bit offsets."""
     return pc.fill_null(column.cast(pa.large_string()), "")
@@ -75,14 +83,31 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**j and base**-j, modulo 2**64, for j below n."""
-    if base not in _powers or len(_powers[base][0]) < n:
-        n, inverse = max(n, CHUNK + 1), pow(base, -1, 1 << 64)
-        _powers[base] = tuple(np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(n, b, dtype="u8")))) for b in (base, inverse))
+    if n > CHUNK + 1 or base not in _powers:
+        size, inverse = max(n, CHUNK + 1), pow(base, -1, 1 << 64)
+        made = tuple(np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(size, b, dtype="u8")))) for b in (base, inverse))
+        if n > CHUNK + 1:  # for one word that is longer; not kept
+            return made
+        _powers[base] = made
     return _powers[base]
 
 
 def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each word, from two polynomials over prefix sums and the length."""
+    """A 64-bit hash of the bytes of each word, from two polynomials over prefix sums and the length.
+
+    Where a word stands doesn't matter, so a long text is hashed a stretch of words at a time.
+    """
+    out = np.empty(len(begin), dtype="u8")
+    i = 0
+    while i < len(begin):
+        j = max(i + 1, int(np.searchsorted(end, begin[i] + CHUNK, "right")))
+        lo, hi = int(begin[i]), int(end[j - 1])
+        out[i:j] = _stretch_hashes(data[lo:hi], begin[i:j] - lo, end[i:j] - lo)
+        i = j
+    return out
+
+
+def _stretch_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     out = mixed((end - begin).astype("u8"))
     total = np.zeros(len(data) + 1, dtype="u8")
     for base in _BASES:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .textkit import text_column
+from .textkit import released, text_column
 
 #: Letters of other scripts, and digits and signs, that are written for Latin letters.
 HOMOGLYPHS = {
@@ -109,9 +109,10 @@ def _counts(shortest: int, longest: int):
                 own = seen[label.as_py()]
                 own.update({w[:n] for w in words for n in range(shortest, min(longest, len(w)) + 1)})
                 own[""] += 1
-                if len(seen[0]) + len(seen[1]) > 200_000:  # a worker holds no more; the rest is summed after the shuffle
+                if len(seen[0]) + len(seen[1]) > 100_000:  # a worker holds no more; the rest is summed after the shuffle
                     yield counts()
         yield counts()
+        released()
 
     return run
 
@@ -232,6 +233,7 @@ def score(docs: DataFrame, lexicon: Lexicon, *, threshold: float = 0.3, text_col
                 texts = text_column(part.column(at)).to_pylist()
                 x = np.array([held.value.score(held.value.strength(automaton, t)) for t in texts])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(x, pa.float64()), pa.array((x >= threshold).astype("i4"))], [*names, score_col, flag_col])
+        released()
 
     return docs.mapInArrow(run, f"{fields}, `{score_col}` double, `{flag_col}` int")
 
