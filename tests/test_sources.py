@@ -3,8 +3,11 @@ import struct
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
-from vellum.operators import recognise
+from vellum.functions import names
+from vellum.operators import logs, recognise
+from vellum.plans import pipelines
 from vellum.sources import docx, files, pdf
 from vellum.streaming import ingest
 
@@ -82,3 +85,42 @@ def test_streams(spark, tmp_path):
     q = means.writeStream.format("memory").queryName("means_seen").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("means_seen").selectExpr("sum(n)").first()[0] == events.count()
+
+
+def test_colour_and_names(spark, tmp_path):
+    put(f"{tmp_path}/p/1.png", png(3, 2, 77))
+    r = files.images(spark, f"{tmp_path}/p", colour=True).first()
+    assert (r["h"], r["w"], r["px"]) == (2, 3, [77] * 18)
+    df = spark.createDataFrame([("folder/x/PORCONES.23.pdf",)], "p string")
+    assert df.select(names.book_code(F.col("p"))).first()[0] == "PORCONES.23"
+
+
+def test_sinks_and_lookups(spark, tmp_path):
+    words = spark.createDataFrame([(1, 0, 1, "b"), (1, 0, 0, "a"), (1, 1, 2, "c"), (2, 0, 0, "d")], "page_no int, line int, n int, text string")
+    files.write_predictions(words, f"{tmp_path}/out", page="page_no", line="line", order="n")
+    back = spark.read.text(f"{tmp_path}/out")
+    assert sorted((r["page_no"], r["value"]) for r in back.collect()) == [(1, "a b"), (1, "c"), (2, "d")]
+    put(f"{tmp_path}/b/res_7_sorted.txt", b"1,2,3\n4,5,6\n;7,8,9;")
+    got = [(r["page_no"], r["line_no"], r["ord"], r["c"]) for r in files.box_groups(spark, f"{tmp_path}/b").orderBy("line_no", "ord").collect()]
+    assert got == [(7, 0, 0, [1, 2, 3]), (7, 0, 1, [4, 5, 6]), (7, 1, 0, [7, 8, 9])]
+    lines = spark.createDataFrame([("x", 0, "a"), ("x", 1, "b"), ("y", 0, "c")], "f string, line_no int, text string")
+    assert {r["f"]: r["text"] for r in files.nth_line(lines, 2, ["f"]).collect()} == {"x": "b", "y": None}
+    state = spark.createDataFrame([({"module.a.w": 1, "b": 2},)], "s map<string,int>")
+    assert state.select(files.without_prefix(F.col("s"))).first()[0] == {"a.w": 1, "b": 2}
+    n = spark.createDataFrame([(105, 3, 8, 2)], "a int, b int, c int, d int").select(logs.schedule_steps(*[F.col(c) for c in "abcd"])).first()[0]
+    assert n == 19
+
+
+def test_compositions(spark, tmp_path):
+    quads = [(1, i, [10, y, 200, y, 200, y + 20, 10, y + 20]) for i, y in enumerate((40, 90, 140))]
+    polygons = spark.createDataFrame(quads, "page_id long, ord long, poly array<long>")
+    truth = spark.createDataFrame([(1, 0, "ab"), (1, 1, "cd")], "page_id long, text_no int, text string")
+    pairs, left = pipelines.samples(polygons, truth)
+    assert [(r["y1"], r["text"]) for r in pairs.orderBy("y1").collect()] == [(40, "ab"), (90, "cd")] and left.count() == 1
+    found = spark.createDataFrame([(1, 0, "ab"), (1, 1, "cx")], "page_id long, line_no int, text string")
+    r = pipelines.evaluated(found, truth, ["page_id"]).first()
+    assert (r["edits"], r["chars"], r["cer"]) == (1, 4, 0.25)
+    truth.select(F.col("text").alias("ref"), F.lit("ax").alias("pred")).write.parquet(f"{tmp_path}/pairs")
+    arriving = spark.readStream.schema("ref string, pred string").parquet(f"{tmp_path}/pairs")
+    ingest.scored_into(spark, arriving, f"{tmp_path}/scored", f"{tmp_path}/checkpoint").awaitTermination(120)
+    assert sorted((r["ref"], r["edits"], r["chars"]) for r in spark.read.parquet(f"{tmp_path}/scored").collect()) == [("ab", 1, 2), ("cd", 2, 2)]

@@ -36,3 +36,8 @@ def labelled_files(files: DataFrame, file_col: str, *, skip: tuple[str, ...] = (
     f = F.col(file_col)
     kept = files.where(~has_extension(f, skip)) if skip else files
     return kept.select(f.alias("FILENAME"), stem(f).alias("IDENTITY"))
+
+
+def book_code(path: Column) -> Column:
+    """The part of a PDF's path that names its pages: the 10th to the 20th character."""
+    return F.substring(path, 10, 11)

@@ -22,8 +22,11 @@ def count_files(spark: SparkSession, path: str, extensions: tuple[str, ...]) ->
     return listing(spark, path).where(names.has_extension(F.col("path"), extensions)).count()
 
 
-def images(spark: SparkSession, path: str) -> DataFrame:
-    """path, h, w, px (row-major gray, 0 to 255) of images; colour ones are weighted, an alpha channel is dropped."""
+def images(spark: SparkSession, path: str, *, colour: bool = False) -> DataFrame:
+    """path, h, w, px (row-major gray, 0 to 255) of images; colour ones are weighted, an alpha channel is dropped.
+
+    With colour px has red, green and blue of each pixel, one after the other; gray ones have three equal numbers.
+    """
     import numpy as np
     import pyarrow as pa
 
@@ -35,7 +38,11 @@ def images(spark: SparkSession, path: str) -> DataFrame:
             for h, w, n, data in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3, 4)], strict=True):
                 a = np.frombuffer(data, dtype="u1").reshape(h, w, n)
                 # Spark's image source has blue first
-                px.append((a[..., 0] if n == 1 else np.rint(a[..., :3] @ np.array([0.114, 0.587, 0.299])).astype("i4")).reshape(-1).tolist())
+                if colour:
+                    own = np.repeat(a, 3, axis=2) if n == 1 else a[..., 2::-1]
+                else:
+                    own = a[..., 0] if n == 1 else np.rint(a[..., :3] @ np.array([0.114, 0.587, 0.299])).astype("i4")
+                px.append(own.reshape(-1).tolist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(px, pa.list_(pa.int32()))], ["path", "h", "w", "px"])
 
     return raw.mapInArrow(run, "path string, h int, w int, px array<int>")
@@ -91,6 +98,15 @@ def write_pages(pages: DataFrame, path: str, page: str = "page_no", text: str =
     pages.select(page, F.col(text).alias("value")).write.partitionBy(page).text(path)
 
 
+def write_predictions(words: DataFrame, path: str, *, page: str, line: str, order: str, text: str = "text") -> None:
+    """One folder of text a page, a line of blank-separated words for each line."""
+    from ..operators import align
+
+    own = F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(text).alias("text_")))), lambda x: x["text_"])
+    lines = words.groupBy(page, line).agg(F.array_join(own, " ").alias(text))
+    write_pages(align.page_text(lines, [page], [line], text).select(page, F.col("text").alias(text)), path, page, text)
+
+
 def config(spark: SparkSession, text: str, schema: str) -> DataFrame:
     """A JSON configuration as one row; numbers are coerced, what can't be is an error."""
     return spark.createDataFrame([(text,)], "c string").select(F.from_json("c", schema, {"mode": "FAILFAST"}).alias("c")).select("c.*")
