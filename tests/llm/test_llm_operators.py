@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from by_hand import lexicon_by_hand, score_by_hand, strength_by_hand
 from pyspark.sql import functions as F
 
 from vellum.llm import chat_format, embedding_dedup, fingerprint, license_scan, mixing, near_dedup, packing, toxicity, url_filter, warc
@@ -208,41 +209,13 @@ def test_toxicity_by_brute_force(spark):
     lexicon = toxicity.fit(frame)
     texts = {i: toxicity.folded(t) for i, t, _ in rows}
     labels = {i: y for i, _, y in rows}
-    holders = {}
-    for i, t in texts.items():
-        for w in re.findall(r"[^\W\d_]+", t):
-            for n in range(3, min(12, len(w)) + 1):
-                holders.setdefault(w[:n], set()).add(i)
-    toxic = sum(labels.values())
-    clean = len(rows) - toxic
-    least = max(3, min(8, toxic // 40 + 2))
-    odds = {}
-    for t, own in holders.items():
-        b = sum(labels[i] for i in own)
-        w = np.log((b + 0.5) / (toxic + 1)) - np.log((len(own) - b + 0.5) / (clean + 1))
-        if b >= least and w >= 3.0:
-            odds[t] = (min(w, 8.0), b)
-    want, todo = {}, sorted(odds, key=lambda t: (len(t), t))
-    for t in todo:
-        if not any(t.startswith(x) and x != t for x in want):
-            while on := sorted(x for x in odds if len(x) == len(t) + 1 and x.startswith(t) and odds[x][1] >= 0.9 * odds[t][1]):
-                t = on[0]
-            want[t] = odds[t][0]
+    want = lexicon_by_hand(texts, labels)
     assert lexicon.weights.keys() == want.keys() and all(abs(lexicon.weights[t] - w) < 1e-9 for t, w in want.items())
     assert {"idiot", "scum", "vile"} == set(want)
 
-    def strength(t):
-        spared = [(m.start(), m.end()) for e in toxicity.EXCEPTIONS for m in re.finditer(rf"(?<![^\W\d_]){re.escape(e)}(?![^\W\d_])", t)]
-        total = 0.0
-        for m in re.finditer(r"[^\W\d_]+", t):
-            own = [x for x in want if m[0].startswith(x)]
-            if own and not any(a <= m.start() < b for a, b in spared):
-                total += want[max(own, key=len)]
-        return total / (len(t) / 6 + 20) ** 0.5
-
     for r in toxicity.score(frame, lexicon).collect():
-        s = strength(texts[r["doc_id"]])
-        assert abs(r["toxic_score"] - 1 / (1 + np.exp(-(lexicon.bias + lexicon.slope * s)))) < 1e-9
+        s = strength_by_hand(texts[r["doc_id"]], want)
+        assert abs(r["toxic_score"] - score_by_hand(s, lexicon)) < 1e-9
         assert r["toxic_flag"] == (r["toxic_score"] >= 0.3)
 
 
