@@ -337,7 +337,10 @@ def test_packing_edges(spark):
 # --- 7
 
 
-def test_embeddings_by_brute_force(spark):
+@pytest.mark.parametrize("lengths, dims", [(16, 256), (1, 3), (0, 3)])
+def test_embeddings_by_brute_force(spark, monkeypatch, lengths, dims):
+    monkeypatch.setattr(embedding_dedup, "LENGTHS", lengths)
+    monkeypatch.setattr(embedding_dedup, "DIMS", dims)
     rng = np.random.default_rng(7)
     base = rng.normal(size=(40, 8))
     rows = []

@@ -30,6 +30,8 @@ from .common import written
 from .components import components, forest
 
 BLOCK, LEAF = 1024, 128
+#: Lengths of vectors, and coordinates of each, that principal axes are found for.
+LENGTHS, DIMS = 16, 256
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -39,17 +41,20 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
-def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = None
-    for batch in batches:
-        for dim, rows in _by_size(batch.column(0)):
-            x = unit(rows[1])
-            x = np.concatenate((x, np.ones((len(x), 1))), axis=1)
-            total = {} if total is None else total
-            total[dim] = total.get(dim, 0) + x.T @ x
-    for dim, t in (total or {}).items():
-        i, j = np.triu_indices(dim + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), dim)), pa.array(i), pa.array(j), pa.array(t[i, j])], ["dim", "i", "j", "v"])
+def _moments(dims: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for dim, rows in _by_size(batch.column(0)):
+                x = unit(rows[1])[:, :dims]
+                x = np.concatenate((x, np.ones((len(x), 1))), axis=1)
+                total = {} if total is None else total
+                total[dim] = total.get(dim, 0) + x.T @ x
+        for dim, t in (total or {}).items():
+            i, j = np.triu_indices(len(t))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), dim)), pa.array(i), pa.array(j), pa.array(t[i, j])], ["dim", "i", "j", "v"])
+
+    return run
 
 
 def _by_size(column: pa.Array) -> list[tuple[int, tuple[np.ndarray, np.ndarray]]]:
@@ -61,24 +66,38 @@ def _by_size(column: pa.Array) -> list[tuple[int, tuple[np.ndarray, np.ndarray]]
 
 
 def principal_axes(vectors: DataFrame, most: int) -> dict[int, np.ndarray]:
-    """For each length of vector, the leading axes of all unit vectors. dim squared numbers come to the driver."""
-    sums = vectors.select("embedding").mapInArrow(_moments, "dim long, i long, j long, v double").groupBy("dim", "i", "j").agg(F.sum("v").alias("v"))
-    out: dict[int, np.ndarray] = {}
+    """For each of the LENGTHS most frequent lengths of vectors, the leading axes of its unit vectors in their first DIMS coordinates.
+
+    At most LENGTHS * DIMS**2 / 2 numbers come to the driver. Any orthonormal axes are right, these are good ones.
+    """
+    sized = vectors.select("embedding", F.size("embedding").alias("dim"))
+    common = [r["dim"] for r in sized.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(LENGTHS).collect()]
+    sums = sized.where(F.col("dim").isin(common)).select("embedding").mapInArrow(_moments(DIMS), "dim long, i long, j long, v double").groupBy("dim", "i", "j").agg(F.sum("v").alias("v"))
+    found: dict[int, np.ndarray] = {}
     for r in sums.collect():
-        out.setdefault(r["dim"], np.zeros((r["dim"] + 1,) * 2))[r["i"], r["j"]] = r["v"]
-    for dim, t in out.items():
+        n = min(r["dim"], DIMS) + 1
+        found.setdefault(r["dim"], np.zeros((n, n)))[r["i"], r["j"]] = r["v"]
+    out: dict[int, np.ndarray] = {}
+    for dim, t in found.items():
+        n = len(t) - 1
         t = t + np.triu(t, 1).T
-        mean = t[:dim, dim] / t[dim, dim]
-        out[dim] = np.linalg.eigh(t[:dim, :dim] / t[dim, dim] - np.outer(mean, mean))[1][:, ::-1][:, : min(most, dim)].copy()
+        mean = t[:n, n] / t[n, n]
+        axes = np.linalg.eigh(t[:n, :n] / t[n, n] - np.outer(mean, mean))[1][:, ::-1][:, : min(most, n)]
+        out[dim] = np.concatenate((axes, np.zeros((dim - n, axes.shape[1]))))
     return out
 
 
+def _axes_of(axes: dict[int, np.ndarray], dim: int, most: int) -> np.ndarray:
+    """Lengths without axes of their own have those of their first coordinates."""
+    return axes[dim] if dim in axes else np.eye(dim)[:, : min(most, dim)]
+
+
 def _cells(axes: dict[int, np.ndarray], width: float, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells = np.zeros((len(batch), most), dtype="i8")
             for dim, (rows, v) in _by_size(batch.column("embedding")):
-                got = np.floor(unit(v) @ axes[dim] / width).astype("i8")
+                got = np.floor(unit(v) @ _axes_of(axes, dim, most) / width).astype("i8")
                 cells[rows, : got.shape[1]] = got
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(cells[:, i]) for i in range(most)]], [*batch.schema.names, *[f"cell_{i}" for i in range(most)]])
 
@@ -88,9 +107,9 @@ def _cells(axes: dict[int, np.ndarray], width: float, most: int):
 _BLOCK = "block long, label string, dim long, low array<double>, high array<double>, ids binary, many binary, vectors binary"
 
 
-def _blocks(axes: dict[int, np.ndarray]):
+def _blocks(axes: dict[int, np.ndarray], most: int):
     def emit(number: int, label: str, dim: int, ids: np.ndarray, many: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-        p = unit(v) @ axes[dim]
+        p = unit(v) @ _axes_of(axes, dim, most)
         values = [[number], [label], [dim], [p.min(0).tolist()], [p.max(0).tolist()], [ids.astype("<i8").tobytes()], [many.astype("<i8").tobytes()], [v.astype("<f8").tobytes()]]
         types = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(values, types, strict=True)], [c.split()[0] for c in _BLOCK.split(", ")])
@@ -125,10 +144,10 @@ def _blocks(axes: dict[int, np.ndarray]):
     return run
 
 
-def _joined(axes: dict[int, np.ndarray], least: float, width: float):
+def _joined(axes: dict[int, np.ndarray], most: int, least: float, width: float):
     def pairs(a: np.ndarray, b: np.ndarray, same: bool, dim: int) -> Iterator[tuple[int, int, np.ndarray]]:
         """(first row, first column, links) of the leaves that aren't provably distant."""
-        pa_, pb = a @ axes[dim], b @ axes[dim]
+        pa_, pb = (x @ _axes_of(axes, dim, most) for x in (a, b))
         todo = [(0, len(a), 0, len(b))]
         while todo:
             i, k, j, m = todo.pop()
@@ -207,7 +226,7 @@ def near_duplicates(vectors: DataFrame, *, least: float = 0.98, axes_most: int =
     placed = reps.mapInArrow(_cells(axes, width, axes_most), f"label string, embedding {kind}, rep long, many long, " + ", ".join(f"{c} long" for c in cells))
     order = ["label", F.size("embedding"), *cells, "rep"]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = written(placed.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_blocks(axes), _BLOCK), "blocks")
+    blocks = written(placed.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_blocks(axes, axes_most), _BLOCK), "blocks")
     # blocks are paired by the cells of the first dimension that they, or their surroundings, touch
     cell = lambda c, by: F.floor((F.col(c)[0] + F.lit(by)) / width)
     bounds = blocks.select("block", "label", "dim", "low", "high")
@@ -217,7 +236,7 @@ def near_duplicates(vectors: DataFrame, *, least: float = 0.98, axes_most: int =
     near = F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x * x) <= width * width
     pairs = left.join(right, ["label", "dim", "at"]).where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "dim").distinct()
     sides = [blocks.select(F.col("block").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("ids", "many", "vectors")]) for c in "ab"]
-    found = pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_joined(axes, least, width), "a long, b long, n long")
+    found = pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_joined(axes, axes_most, least, width), "a long, b long, n long")
     found = written(found, "links")
     counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     labels = components(found.where("b is not null").select("a", "b"))
