@@ -5,12 +5,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from by_hand import lexicon_by_hand, score_by_hand, strength_by_hand
 from pyspark.sql import functions as F
 
-from vellum.llm import chat_format, embedding_dedup, fingerprint, license_scan, mixing, near_dedup, packing, toxicity, url_filter, warc
+from vellum.llm import chat_format, embedding_dedup, fingerprint, license_scan, mixing, near_dedup, packing, textkit, toxicity, url_filter, warc
 from vellum.llm import queries as Q
 from vellum.llm.components import components
 
@@ -435,6 +436,26 @@ def test_one_row_of_each_group_stays(spark):
     assert near_dedup.deduplicated(frame.limit(0)).count() == 0
 
 
+def test_second_hub_meets_other_components_only(spark):
+    bands = spark.createDataFrame([(1, x, 9) for x in (1, 2, 3, 4, 9)] + [(2, x, 7) for x in (5, 6, 7)], "key long, id long, far long")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (9, 1), (5, 5), (6, 5)], "node long, component long")
+    left = near_dedup._open_groups(bands, labels)
+    assert {r["key"]: (r["lead"], r["beyond"]) for r in left.collect()} == {1: (1, 1), 2: (5, 7)}
+    assert sorted(map(tuple, near_dedup._far_pairs(left).collect())) == [(3, 9), (4, 9), (5, 7), (6, 7)]
+
+
+def test_workers_keep_no_tables_of_other_operators():
+    with open(Q.tokenizer_path(Q.WORD_TOKENIZER), "rb") as f:
+        textkit.WordTokenizer.of(f.read())
+    textkit._power(textkit._BASES[0], 10)
+    textkit.released(tokenizers=False)
+    assert not textkit._powers and textkit.WordTokenizer._own
+    textkit.released()
+    assert not textkit.WordTokenizer._own
+    x, ends = near_dedup.shingle_sets(textkit.text_column(pa.array(["a b c"])), 2)
+    assert len(x) == 2 and list(ends) == [0, 2]
+
+
 def test_sketches_estimate_and_merge():
     rng = np.random.default_rng(1)
     x = np.sort(rng.integers(0, 2**63, 3000, dtype="u8"))

@@ -8,7 +8,7 @@ equal; pairs that can pass are verified on their whole sets.
 Scale: documents with equal sets are one class from the start, so a group of copies costs one sketch. Classes are
 numbered at random, so the smallest and the largest of a band's group are two hubs drawn by lot, which partial
 aggregates find. Pairs aren't enumerated: every member is compared with a hub, and linked ones are contracted into
-components. Groups that still hold several components go into tiles of bounded size, in which the smaller components'
+components; of groups that then hold several, members outside the second hub's component are compared with it. Groups that still hold several components go into tiles of bounded size, in which the smaller components'
 members are compared with all others, and which give a forest of links, not pairs. Whole sets are made once, and only
 of the classes that share a band; their texts are sieved by a Bloom filter before they are shuffled (within
 ``SIEVE_BYTES``; with more classes the filter lets other texts through as well, never fewer). The joins that move sets
@@ -190,18 +190,25 @@ def _links(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
 
 def _open_groups(bands: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of groups of three or more that hold several components: key, id, far, component, lead (the largest component).
+    """Members of groups of three or more that hold several components: key, id, far, component, lead (the largest component), beyond (far's component).
 
     What a group holds is counted by component first, so a group of very many members in few components is a few rows.
     """
     own = bands.join(labels.select(F.col("node").alias("id"), "component"), "id", "left")
     own = written(own.select("key", "id", "far", F.coalesce("component", "id").alias("component")), "labelled")
-    counted = own.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    groups = counted.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("many"), F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("l"))
-    groups = written(groups.where("many > 2 and c > 1").select("key", (-F.col("l.c")).alias("lead")), "open-keys")
+    counted = own.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))
+    groups = counted.groupBy("key").agg(
+        F.count(F.lit(1)).alias("c"), F.sum("n").alias("many"), F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("l"), F.max(F.struct("top", "component")).alias("f")
+    )
+    groups = written(groups.where("many > 2 and c > 1").select("key", (-F.col("l.c")).alias("lead"), F.col("f.component").alias("beyond")), "open-keys")
     return written(own.join(groups, "key"), "open")
 
 
+def _far_pairs(left: DataFrame) -> DataFrame:
+    """id, hub: members of open groups with their second hub, but for those that are in its component already, to which a link adds nothing."""
+    return left.where("component <> beyond").select("id", F.col("far").alias("hub")).distinct()
+
+
 def _tiles(left: DataFrame, members: DataFrame) -> DataFrame:
     """Open groups to tiles: lead, kind, p, q, part, id, component.
 
@@ -220,7 +227,7 @@ def _tiles(left: DataFrame, members: DataFrame) -> DataFrame:
     return own.select("lead", "id", "component", "part", other.alias("other"), F.inline(F.when(other, F.concat(among, across)).otherwise(down)))
 
 
-def shared_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, columns: int = 1024) -> np.ndarray:
+def shared_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, columns: int = 256) -> np.ndarray:
     """How many elements each set of a shares with each of b: products of incidence matrices, some elements at a time."""
     values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype="i4"), [len(x) for x in sets])
     order = np.argsort(values, kind="stable")
@@ -317,7 +324,7 @@ def _classified(docs: DataFrame, k: int, percent: int, id_col: str, text_col: st
     left = _open_groups(bands, labels)
     if left.head(1):
         members = sieved(members, left.select("id").distinct(), ["id"])[0]
-        links = links.union(_links(left.where("id <> far").select("id", F.col("far").alias("hub")).distinct(), members, percent))
+        links = links.union(_links(_far_pairs(left), members, percent))
         labels = components(links)
         left = _open_groups(left.select("key", "id", "far"), labels)
     if left.head(1):

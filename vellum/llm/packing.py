@@ -54,7 +54,7 @@ def encode_pieces(
                     [ids.slice(lo, hi - lo).take(pa.array(row)), pa.array(piece.astype("i4")), pa.array(begin.astype("i8")), pa.array(length.astype("i4")), held],
                     ["doc_id", "piece", "start", "length", "ids"],
                 )
-        released()
+        released(tokenizers=False)
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, PIECES.format(id=id_type))
 

@@ -16,8 +16,14 @@ import pyarrow.compute as pc
 CHUNK = 1_000_000
 
 
-def released() -> None:
-    """Gives memory that this worker has freed back to the machine; workers live on after their tasks, beside others."""
+def released(*, tokenizers: bool = True) -> None:
+    """Gives memory that this worker has freed, and tables that are soon made again, back to the machine; workers live on after their tasks, beside others.
+
+    With tokenizers, also the tokenizers that earlier tasks of other operators have left, and all they remember.
+    """
+    _powers.clear()
+    if tokenizers:
+        WordTokenizer._own.clear()
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)
